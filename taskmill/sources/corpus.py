@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,15 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskmill.operators.records import with_position
-from taskmill.schema import INSTRUCTION, PREPARED, TRAINING
 from taskmill.scale import partitions
+from taskmill.schema import INSTRUCTION, TRAINING
 
 LAYOUTS = ("array", "lines")
 
 
-def path_part(index: int) -> Column:
-    """A folder of the file a row came from, counted from the end; names may hold any character."""
-    part = F.element_at(F.split(F.col("_metadata.file_path"), "/"), index)
+def decoded(part: Column) -> Column:
+    """A path part as the name it stands for; paths are URL-encoded, with ``+`` left alone."""
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
@@ -42,7 +42,15 @@ def read_corpus(
     """
     paths = [f"{base}/{lang}/*/{split}.json" for lang in langs]
     rows = spark.read.schema(schema).option("multiLine", _multi_line(layout)).json(paths)
-    return rows.withColumns({"folder_lang": path_part(-3), "folder": path_part(-2)})
+    # The split may be one file, or a folder of files as Spark writes it.
+    place = rf"([^/]+)/([^/]+)/{re.escape(split)}\.json(/[^/]*)?$"
+    path = F.col("_metadata.file_path")
+    return rows.withColumns(
+        {
+            "folder_lang": decoded(F.regexp_extract(path, place, 1)),
+            "folder": decoded(F.regexp_extract(path, place, 2)),
+        }
+    )
 
 
 def read_records(
@@ -73,5 +81,3 @@ def read_prepared(spark: SparkSession, path: str, schema: T.StructType | None =
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
-
-__all__ = ["PREPARED", "path_part", "read_corpus", "read_prepared", "read_records", "write_corpus"]

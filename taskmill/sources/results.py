@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskmill.schema import RESULT
-from taskmill.sources.corpus import path_part
+from taskmill.sources.corpus import decoded
 
 CORRUPT = "_corrupt"
 
@@ -23,18 +23,25 @@ def read_results(
     """
     if layout not in ("objects", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    rows = (
-        spark.read.schema(with_corrupt)
-        .option("multiLine", layout == "objects")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+    whole = layout == "objects"
+    place = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    raw = (
+        spark.read.option("wholetext", whole)
         .option("pathGlobFilter", "*.json")
-        .json(f"{experiment_dir}/*")
-        .withColumns({"experiment": path_part(-2), "file": F.col("_metadata.file_path")})
+        .text(f"{experiment_dir}/*")
+        .select("value", decoded(place).alias("experiment"), F.col("_metadata.file_path").alias("file"))
     )
-    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file")
-    bad = rows.where(F.col(CORRUPT).isNotNull()).select("experiment", "file", CORRUPT)
+    if not whole:
+        raw = raw.where(F.trim("value") != "")
+    parsed = F.from_json(
+        "value",
+        T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
+    )
+    rows = raw.withColumn("record", parsed)
+    broken = F.col("record").isNull() | F.col(f"record.{CORRUPT}").isNotNull()
+    good = rows.where(~broken).select(*[f"record.{f.name}" for f in schema.fields], "experiment")
+    bad = rows.where(broken).select("experiment", "file", F.col("value").alias("text"))
     return good, bad
 
 

@@ -123,10 +123,10 @@ def long(source: str, names: list[str], group: str = "lang, dataset") -> str:
 
 SETS = f"""sets as (
   select id, lang, dataset,
-    list_distinct(list_transform(string_split({clean('output')}, ','), x -> trim(x, {SPACES}))) as truth,
-    list_distinct(list_transform(string_split({clean('response')}, ','), x -> trim(x, {SPACES}))) as answer
+    list_distinct(list_transform(string_split({clean('output')}, ','), lambda x: trim(x, {SPACES}))) as truth,
+    list_distinct(list_transform(string_split({clean('response')}, ','), lambda x: trim(x, {SPACES}))) as answer
   from flags),
-classes as (select lang, dataset, unnest(truth) as label from sets group by all),
+classes as (select distinct * from (select lang, dataset, unnest(truth) as label from sets)),
 by_dataset as (select lang, dataset, list(label) as known from classes group by all),
 known as (
   select s.id, s.lang, s.dataset, s.truth, list_intersect(s.answer, b.known) as answer
@@ -259,11 +259,11 @@ def chat_text(source: str, instruction: str, text: str, answer: str, task: str)
 
 
 def grams(side: str, n: int) -> str:
-    tokens = f"list_filter(regexp_split_to_array(lower({side}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), x -> x <> '')"
+    tokens = f"list_filter(regexp_split_to_array(lower({side}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
     if n == 1:
         return f"(select id, unnest({tokens}) as gram from pairs)"
     return (
-        f"(select id, unnest(list_transform(range(1, greatest(len(t), 1)::bigint), i -> t[i] || ' ' || t[i + 1])) as gram "
+        f"(select id, unnest(list_transform(range(1, greatest(len(t), 1)::bigint), lambda i: t[i] || ' ' || t[i + 1])) as gram "
         f"from (select id, {tokens} as t from pairs))"
     )
 
@@ -408,8 +408,9 @@ SQL: dict[str, str] = {
       case when c_nationkey % 5 <> 0 then c_mktsegment || '|other' end as labels from customer""",
     "registry_source": """select c_name as dataset, 'ar' as lang, unnest([c_mktsegment, 'other']) as label from customer""",
     "label_map_parse": "select p_name as native, p_type as english, count(*) as n from part group by all",
-    "instruction_bank_parse": """select p_brand as dataset, unnest([0, 1, 2])::int as variant,
-      unnest([p_name, p_type, p_name || ' ' || p_type]) as instruction, count(*) as n from part group by all""",
+    "instruction_bank_parse": """select dataset, variant, instruction, count(*) as n from (
+      select p_brand as dataset, unnest([0, 1, 2])::int as variant,
+        unnest([p_name, p_type, p_name || ' ' || p_type]) as instruction from part) group by all""",
     "pending_rows": f"with {DOCS} select id, lang, dataset from docs where output is null",
     "first_of_duplicates": """select 'en' as lang, o_orderstatus as dataset, o_custkey::varchar as id,
       min(o_orderkey) as o_orderkey from orders group by all""",
