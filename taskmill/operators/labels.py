@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskmill.functions.hashing import hash_key
-from taskmill.scale import lookup, settle
+from taskmill.scale import fits, lookup, settle
 from taskmill.schema import DATASET_KEY
 
 
@@ -40,11 +40,12 @@ def encode_labels(
     """Add ``<column>_code``: the rank of a label among the true labels, null if it is none."""
     by = list(by)
     labels = settle(label_codes(df, by)) if labels is None else labels
+    small = fits(labels)
     for column in columns:
         codes = labels.select(
             *by, F.col("label").alias(column), F.col("code").alias(f"{column}_code")
         )
-        df = lookup(df, codes, by + [column])
+        df = lookup(df, codes, by + [column], small=small)
     return df
 
 
@@ -67,14 +68,16 @@ def repair_answers(
     number = labels.where("code = 0").select(*by, "n_labels")
     choice = labels.select(*by, F.col("code").alias("__pick"), F.col("label").alias("__choice"))
 
-    rows = lookup(df, known, by + ["response"])
-    rows = lookup(rows, number, by).withColumn(
+    # The three tables are parts of one, so one measurement is enough.
+    small = fits(labels)
+    rows = lookup(df, known, by + ["response"], small=small)
+    rows = lookup(rows, number, by, small=small).withColumn(
         "__pick",
         F.when(
             F.col("__known").isNull(), F.pmod(hash_key(seed, id_col), F.col("n_labels")).cast("int")
         ),
     )
-    rows = lookup(rows, choice, by + ["__pick"])
+    rows = lookup(rows, choice, by + ["__pick"], small=small)
     answer = F.coalesce("__choice", "response").alias("response")
     return rows.select(*[answer if c == "response" else c for c in df.columns])
 

@@ -154,7 +154,8 @@ def binarize(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame
 def multi_label_counts(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:
     """Counts per class and, under a null label, sums over the rows; one pass, one aggregation."""
     true, answer = F.col("output"), F.col("response")
-    hits = F.size(F.array_intersect(true, answer))
+    df = df.withColumn("__hits", F.size(F.array_intersect(true, answer)))
+    hits = F.col("__hits")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     none = F.lit(0.0)
 

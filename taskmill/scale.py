@@ -81,17 +81,18 @@ def lookup(
     how: str = "left",
     null_safe: bool = False,
     limit: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join rows to a table with at most one row per key.
 
-    The table is measured: up to ``limit`` bytes it is broadcast and the rows do not move.
+    The table is measured, unless the caller knows from a larger one that it is ``small``: up to ``limit`` bytes it is broadcast and the rows do not move.
     Beyond that both sides are shuffled with a salt, so that a key holding a large share of
     the rows is spread over many tasks.
     """
     on = list(on)
     keys = {name: f"__key_{name}" for name in on}
     table = table.withColumnsRenamed(keys)
-    if fits(table, limit):
+    if fits(table, limit) if small is None else small:
         table = F.broadcast(table)
     else:
         rows = rows.withColumn(

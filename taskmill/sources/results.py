@@ -46,8 +46,11 @@ def read_results(
 
 
 def write_responses(df: DataFrame, path: str) -> None:
-    """Append results below ``lang=.../dataset=...``; the committer adds a job's files as one."""
-    df.write.mode("append").partitionBy("lang", "dataset").json(path)
+    """Append results below ``lang=.../dataset=...``; the committer adds a job's files as one.
+
+    Rows are rebalanced by dataset: one file for a small dataset, many for a large one.
+    """
+    df.hint("rebalance", "lang", "dataset").write.mode("append").partitionBy("lang", "dataset").json(path)
 
 
 def read_responses(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:
