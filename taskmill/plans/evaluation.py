@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taskmill.operators import metrics, rouge
 from taskmill.operators.labels import repair_answers
 from taskmill.operators.records import clean_answers, split_labels
-from taskmill.scale import settle
+from taskmill.scale import settle, stage
 from taskmill.schema import DATASET_KEY
 from taskmill.sources.results import read_results, write_metrics
 
@@ -114,8 +114,13 @@ def metrics_documents(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), see
 def evaluate_experiment(
     spark: SparkSession, experiment_dir: str, output_dir: str, layout: str = "objects", seed: int = 42
 ) -> DataFrame:
-    """Read an experiment, write a metrics document per dataset; returns the quarantined records."""
+    """Read an experiment, write a metrics document per dataset; returns the quarantined records.
+
+    The JSON is parsed once. Its parquet copy has a folder per dataset, so each kind of metric
+    reads its own datasets and the columns it needs.
+    """
     good, bad = read_results(spark, experiment_dir, layout)
-    documents = metrics_documents(good, ["experiment", "lang", "dataset"], seed)
+    staged = stage(good, "results", ["dataset"])
+    documents = metrics_documents(staged, ["experiment", "lang", "dataset"], seed)
     write_metrics(documents, output_dir)
     return bad

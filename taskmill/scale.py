@@ -44,11 +44,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write a large intermediate as parquet under the shared folder and read it back."""
+def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFrame:
+    """Write a large intermediate as parquet under the shared folder and read it back.
+
+    With ``by`` the table is partitioned by these columns, and filters on them select folders;
+    rows are rebalanced first, so a folder gets as many files as its rows need.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.hint("rebalance", *by) if by else df
+    rows.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskmill.operators.records import with_position
-from taskmill.scale import partitions
 from taskmill.schema import INSTRUCTION, TRAINING
 
 LAYOUTS = ("array", "lines")
@@ -61,17 +60,18 @@ def read_records(
     return with_position(rows)
 
 
-def write_corpus(df: DataFrame, path: str, position: str | None = "position", files: int | None = None) -> None:
-    """Save a prepared corpus as parquet, in position order if it has positions.
+def write_corpus(
+    df: DataFrame, path: str, files: int | None = None, position: str = "position"
+) -> None:
+    """Save a prepared corpus as parquet.
 
-    Positions are dense, so the file of a row follows from its position without sampling.
+    A corpus that comes from ``shuffle`` lies in order already, so its files are written as the
+    partitions are. ``files`` lays any other corpus out by its dense positions in that many files.
     """
-    if position and position in df.columns:
-        files = files or partitions(df.sparkSession)
+    if files:
         rows = df.agg(F.max(position)).first()[0]
-        if rows is not None:
-            slot = F.expr(f"cast(`{position}` * {files} div {rows + 1} as int)")
-            df = df.withColumn("__file", slot).repartitionById(files, "__file").drop("__file")
+        slot = F.expr(f"cast(`{position}` * {files} div {(rows or 0) + 1} as int)")
+        df = df.withColumn("__file", slot).repartitionById(files, "__file").drop("__file")
         df = df.sortWithinPartitions(position)
     df.write.mode("overwrite").parquet(path)
 

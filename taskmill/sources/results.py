@@ -14,12 +14,17 @@ CORRUPT = "_corrupt"
 
 
 def read_results(
-    spark: SparkSession, experiment_dir: str, layout: str = "objects", schema: T.StructType = RESULT
+    spark: SparkSession,
+    experiment_dir: str,
+    layout: str = "objects",
+    schema: T.StructType = RESULT,
+    pattern: str = "*.json",
 ) -> tuple[DataFrame, DataFrame]:
-    """Result rows and quarantined files of an experiment: one folder of ``*.json`` per dataset.
+    """Result rows and quarantined records of an experiment: one folder of files per dataset.
 
     ``objects``: one JSON object per file, over any number of lines. ``lines``: JSON Lines.
-    Records that do not parse come back in the second frame with their text and file.
+    Records that do not parse come back in the second frame with their text and file. Files
+    whose name does not match ``pattern`` are ignored.
     """
     if layout not in ("objects", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
@@ -27,7 +32,7 @@ def read_results(
     place = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     raw = (
         spark.read.option("wholetext", whole)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", pattern)
         .text(f"{experiment_dir}/*")
         .select("value", decoded(place).alias("experiment"), F.col("_metadata.file_path").alias("file"))
     )

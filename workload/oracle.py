@@ -442,4 +442,7 @@ SQL: dict[str, str] = {
       instruction, 'Ünï ' || id as response from docs""",
     "result_source": f"""with {DOCS} select 'folder=' || dataset as experiment, count(*) as n, count(output) as answered,
       0::bigint as corrupt from docs group by all""",
+    "corrupt_quarantine": """select 'experiment=' || d.source as experiment,
+      case when l.doc_id is null then 'corrupt' else 'good' end as state, count(*) as n
+      from documents d left join labels l on d.doc_id = l.doc_id group by all""",
 }

@@ -590,3 +590,17 @@ def result_source(spark, sf):
     found = good.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.count("response").alias("answered"))
     spoiled = bad.groupBy("experiment").agg(F.count(F.lit(1)).alias("corrupt"))
     return found.join(spoiled, "experiment", "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(0)))
+
+
+@query
+def corrupt_quarantine(spark, sf):
+    """Results of unjudged documents are cut off half-way and must not spoil the others."""
+    rows = _to_score(spark, sf).withColumn("response", F.col("output"))
+    line = F.to_json(F.struct(*rows.columns))
+    cut = F.when(F.col("output").isNull(), F.substring(line, F.lit(1), F.length(line) - 9)).otherwise(line)
+    path = scale.scratch(spark, "spoiled")
+    rows.select(F.col("dataset").alias("experiment"), cut.alias("value")).write.partitionBy("experiment").text(path)
+    good, bad = results.read_results(spark, path, "lines", pattern="*.txt")
+    found = good.select("experiment", F.lit("good").alias("state"))
+    spoiled = bad.select("experiment", F.lit("corrupt").alias("state"))
+    return found.unionByName(spoiled).groupBy("experiment", "state").agg(F.count(F.lit(1)).alias("n"))
