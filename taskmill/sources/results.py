@@ -30,23 +30,24 @@ def read_results(
         raise ValueError(f"unknown layout {layout!r}")
     whole = layout == "objects"
     place = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    raw = (
-        spark.read.option("wholetext", whole)
-        .option("pathGlobFilter", pattern)
-        .text(f"{experiment_dir}/*")
-        .select("value", decoded(place).alias("experiment"), F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.text(f"{experiment_dir}/*", wholetext=whole, pathGlobFilter=pattern).select(
+        F.col("value").alias("__text"),
+        decoded(place).alias("experiment"),
+        F.col("_metadata.file_path").alias("__file"),
     )
+    blank = F.trim("__text") == ""
     if not whole:
-        raw = raw.where(F.trim("value") != "")
+        raw = raw.where(~blank)
     parsed = F.from_json(
-        "value",
+        "__text",
         T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
-    rows = raw.withColumn("record", parsed)
-    broken = F.col("record").isNull() | F.col(f"record.{CORRUPT}").isNotNull()
-    good = rows.where(~broken).select(*[f"record.{f.name}" for f in schema.fields], "experiment")
-    bad = rows.where(broken).select("experiment", "file", F.col("value").alias("text"))
+    # Unpacked by a generator, so a filter on the outcome does not parse the text again.
+    rows = raw.select("*", F.inline(F.array(parsed)))
+    broken = F.col(CORRUPT).isNotNull() | blank
+    good = rows.where(~broken).select(*schema.names, "experiment")
+    bad = rows.where(broken).select("experiment", F.col("__file").alias("file"), F.col("__text").alias("text"))
     return good, bad
 
 
