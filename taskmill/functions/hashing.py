@@ -11,7 +11,3 @@ def hash_key(seed: int, id_col: str | Column) -> Column:
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col) if isinstance(id_col, str) else id_col))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
-
-def key_bucket(key: str | Column, bits: int) -> Column:
-    """The highest bits of a key: equal-sized buckets in key order."""
-    return F.shiftright(key, KEY_BITS - bits).cast("int")

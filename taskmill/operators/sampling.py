@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskmill.functions.hashing import hash_key, key_bucket
+from taskmill.functions.hashing import KEY_BITS, hash_key
 from taskmill.functions.prompts import is_summarization
 from taskmill.scale import lookup, settle
 
-BUCKET_BITS = 12
+BUCKET_ROWS = 4096
+MAX_BUCKET_BITS = 16
 
 
 def stratified_sample(
@@ -114,71 +115,27 @@ def _sample(
 ) -> DataFrame:
     """Keep the rows with the smallest keys of each stratum.
 
-    Counts per stratum and key bucket (map-side combined) give the allocation and the one
-    bucket of each stratum where its cut lies. Only the ids of that bucket are ranked, which
-    yields the exact cut; the rows are then filtered against it and never move.
+    Stratum sizes give the allocation. For strata that are cut, counts per key bucket (both
+    combined before they are shuffled) find the one bucket where the cut lies, and only the ids
+    of that bucket are ranked. The rows are then filtered against the exact cut and never move.
     """
     within = list(within)
     strata_key = within + ["stratum"]
-    keyed = df.withColumns({"stratum": stratum, "__key": hash_key(seed, id_col)}).withColumn(
-        "__bucket", key_bucket("__key", BUCKET_BITS)
-    )
-    counts = settle(
-        keyed.groupBy(*strata_key, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    )
-    strata = allocate(
-        counts.groupBy(*strata_key).agg(F.sum("n").alias("size")), samples, within
-    )
+    keyed = df.withColumns({"stratum": stratum, "__key": hash_key(seed, id_col)})
+    sizes = keyed.groupBy(*strata_key).agg(F.count(F.lit(1)).alias("size"))
+    strata = settle(allocate(sizes, samples, within))
     if check:
-        strata = settle(strata)
         _check(strata, samples, within, check)
-
-    # At most 2^12 rows per stratum: the running count stays small however large a stratum is.
-    running = Window.partitionBy(*strata_key).orderBy("__bucket")
-    counts = counts.withColumn("__through", F.sum("n").over(running))
-    bounds = counts.join(
-        strata.withColumnsRenamed({c: f"__s_{c}" for c in strata_key}),
-        on=[F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in strata_key],
-    ).where((F.col("__through") >= F.col("take")) & (F.col("__through") - F.col("n") < F.col("take")))
-    bounds = settle(
-        bounds.select(
-            *strata_key,
-            "__bucket",
-            "take",
-            (F.col("take") == F.col("size")).alias("__whole"),
-            (F.col("take") - F.col("__through") + F.col("n")).alias("__need"),
-        )
-    )
-
-    # Ids are counted before they are ranked, so copies of one id are one row here.
-    edge = lookup(
-        keyed.select(*strata_key, "__bucket", "__key", id_col),
-        bounds.where(~F.col("__whole")).select(*strata_key, "__bucket", "__need"),
-        strata_key + ["__bucket"], "inner", null_safe=True,
-    )
-    edge = edge.groupBy(*strata_key, "__need", "__key", id_col).agg(F.count(F.lit(1)).alias("n"))
-    through = F.sum("n").over(Window.partitionBy(*strata_key).orderBy("__key", id_col))
-    cuts = (
-        edge.withColumn("__through", through)
-        .where((F.col("__through") >= F.col("__need")) & (F.col("__through") - F.col("n") < F.col("__need")))
-        .select(
-            *strata_key,
-            F.col("__key").alias("__cut"),
-            F.col(id_col).alias("__cut_id"),
-            (F.col("__need") - F.col("__through") + F.col("n")).alias("__keep"),
-            (F.col("__through") > F.col("__need")).alias("__tied"),
-        )
-    )
-    whole = bounds.where("__whole").select(
+    whole = strata.where("take = size").select(
         *strata_key,
         F.lit(2**62).alias("__cut"),
         F.lit(None).cast(df.schema[id_col].dataType).alias("__cut_id"),
         F.lit(0).cast("bigint").alias("__keep"),
         F.lit(False).alias("__tied"),
     )
-    cuts = settle(cuts.unionByName(whole))
+    cuts = settle(_cuts(keyed, strata.where("take > 0 and take < size"), strata_key, id_col).unionByName(whole))
 
-    rows = lookup(keyed.drop("__bucket"), cuts, strata_key, "inner", null_safe=True)
+    rows = lookup(keyed, cuts, strata_key, "inner", null_safe=True)
     at_cut = (F.col("__key") == F.col("__cut")) & F.col(id_col).eqNullSafe(F.col("__cut_id"))
     below = (F.col("__key") < F.col("__cut")) | (
         (F.col("__key") == F.col("__cut")) & (F.col(id_col) <= F.col("__cut_id"))
@@ -189,6 +146,48 @@ def _sample(
     return rows.where(below & ~(at_cut & F.col("__tied"))).select(*df.columns).unionByName(tied)
 
 
+def _cuts(keyed: DataFrame, strata: DataFrame, strata_key: list[str], id_col: str) -> DataFrame:
+    """The key and id of the last row each stratum keeps."""
+    # A bucket holds about BUCKET_ROWS rows, until a stratum has its largest number of buckets.
+    bits = F.ceil(F.log2(F.col("size") / BUCKET_ROWS))
+    shift = (KEY_BITS - F.greatest(F.lit(0), F.least(F.lit(MAX_BUCKET_BITS), bits))).cast("int")
+    strata = strata.select(*strata_key, "take", shift.alias("__shift"))
+    bucket = F.expr("shiftright(__key, __shift)")
+    narrow = keyed.select(*strata_key, "__key", id_col)
+
+    counts = (
+        lookup(narrow, strata, strata_key, "inner", null_safe=True)
+        .groupBy(*strata_key, "take", "__shift", bucket.alias("__bucket"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    running = F.sum("n").over(Window.partitionBy(*strata_key).orderBy("__bucket"))
+    bounds = settle(
+        counts.withColumn("__through", running)
+        .where("__through >= take and __through - n < take")
+        .select(*strata_key, "__shift", "__bucket", F.expr("take - __through + n").alias("__need"))
+    )
+
+    # Ids are counted before they are ranked, so copies of one id are one row here.
+    edge = (
+        lookup(narrow, bounds, strata_key, "inner", null_safe=True)
+        .where(bucket == F.col("__bucket"))
+        .groupBy(*strata_key, "__need", "__key", id_col)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    through = F.sum("n").over(Window.partitionBy(*strata_key).orderBy("__key", id_col))
+    return (
+        edge.withColumn("__through", through)
+        .where("__through >= __need and __through - n < __need")
+        .select(
+            *strata_key,
+            F.col("__key").alias("__cut"),
+            F.col(id_col).alias("__cut_id"),
+            F.expr("__need - __through + n").alias("__keep"),
+            (F.col("__through") > F.col("__need")).alias("__tied"),
+        )
+    )
+
+
 def _copies(rows: DataFrame, columns: list[str], strata_key: list[str]) -> DataFrame:
     """Of rows that share the id at a cut, as many as fit: equal rows are counted, not gathered."""
     distinct = rows.groupBy(*dict.fromkeys(columns + strata_key), "__keep").agg(

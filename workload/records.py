@@ -58,34 +58,28 @@ def orders_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flags(spark: SparkSession, sf: str) -> DataFrame:
-    """One multi-label record per order: its return flags, and a guess from the quantities.
+    """One multi-label record per order: its return flags, and a guess from the quantities."""
+    letters = ("A", "N", "R")
+    flag, guessed = F.col("l_returnflag"), (F.col("l_linenumber") != 7) & (F.col("l_quantity") > 25)
 
-    Letters are gathered as numbers and bits, which a hash aggregation can update in place.
-    """
-    bit = F.expr("shiftleft(1, ascii(l_returnflag) - ascii('A'))")
-    guessed = (F.col("l_linenumber") != 7) & (F.col("l_quantity") > 25)
-
-    def letters(mask: str) -> Column:
-        return F.expr(f"transform(filter(sequence(0, 25), i -> (shiftright({mask}, i) & 1) = 1), i -> char(i + 65))")
+    def found(prefix: str, separator: str, *more: Column) -> Column:
+        return F.concat_ws(separator, *[F.when(F.col(f"{prefix}{x}"), x) for x in letters], *more)
 
     return (
         table(spark, sf, "lineitem")
         .groupBy("l_orderkey")
         .agg(
             F.max(F.ascii("l_linestatus")).alias("status"),
-            F.bit_or(bit).alias("truth"),
-            F.coalesce(F.bit_or(F.when(guessed, bit)), F.lit(0)).alias("guess"),
+            *[F.max(flag == x).alias(f"true{x}") for x in letters],
+            *[F.max((flag == x) & guessed).alias(f"guess{x}") for x in letters],
             F.max(F.col("l_linenumber") == 7).alias("junk"),
         )
         .select(
             F.col("l_orderkey").cast("string").alias("id"),
             F.lit("en").alias("lang"),
             F.concat(F.lit("Hostility-"), F.char("status")).alias("dataset"),
-            F.array_join(letters("truth"), ",").alias("output"),
-            F.array_join(
-                F.concat(letters("guess"), F.when(F.col("junk"), F.array(F.lit("junk"))).otherwise(F.array().cast("array<string>"))),
-                " , ",
-            ).alias("response"),
+            found("true", ",").alias("output"),
+            found("guess", " , ", F.when(F.col("junk"), "junk")).alias("response"),
         )
     )
 
