@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,9 @@ from taskmill.scale import lookup, partitions, settle
 LANGS = ("ar", "en", "hi")
 MODES = ("none", "fully", "by_language", "by_task")
 
+# A slice of the final order holds about this many rows at most, whatever the session's setting.
+SLICE_ROWS = 1_000_000
+
 
 def lang_rank(langs: Sequence[str] = LANGS, column: str = "lang") -> Column:
     """The place of a language in the corpus order; other languages come last, by name."""
@@ -32,8 +36,6 @@ def _positions(
     The first pass counts the groups, the second the slices; both read the group and id columns
     only and combine before they shuffle. The rows move once, straight to their slice.
     """
-    spark = df.sparkSession
-    parts = partitions(spark)
     names = [f"__g{i}" for i in range(len(groups))] or ["__g0"]
     columns = list(groups.values()) or [F.lit(0)]
     keyed = df.withColumns(dict(zip(names, columns))).withColumn("__key", hash_key(seed, id_col))
@@ -52,13 +54,15 @@ def _positions(
             F.sum("__size").over(everything).alias("__total"),
         )
     )
+    total = sizes.agg(F.max("__total")).first()[0] or 0
+    parts = max(partitions(df.sparkSession), math.ceil(total / SLICE_ROWS))
     expected = F.col("__start") + F.col("__size") * (F.col("__key") / F.lit(float(2**KEY_BITS)))
     placed = lookup(keyed, sizes, names, "inner", null_safe=True).withColumn(
         "__part",
         F.least(F.floor(expected * parts / F.col("__total")), F.lit(parts - 1)).cast("int"),
     )
 
-    # At most one row per shuffle partition: small by construction.
+    # One row per slice: small by construction.
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     slices = settle(
         counts.select(

@@ -313,7 +313,7 @@ SQL: dict[str, str] = {
     "answer_cleaning": f"with {ORDERS} select id, output, response from cleaned",
     "answer_repair": f"with {ORDERS}, {repaired('cleaned')} select id, response from repaired",
     "label_encoding": f"""with {ORDERS}, {repaired('cleaned')}
-      select r.id, a.code as output_code, b.code as response_code from repaired r
+      select r.id, a.code::int as output_code, b.code::int as response_code from repaired r
       join codes a on a.lang = r.lang and a.dataset = r.dataset and a.label = r.output
       join codes b on b.lang = r.lang and b.dataset = r.dataset and b.label = r.response""",
     "distinct_labels": f"with {ORDERS} select distinct lang, dataset, output as label from orders_raw",
@@ -424,7 +424,7 @@ SQL: dict[str, str] = {
       from rouge1_rows a join rouge2_rows b on b.id = a.id group by all""",
     "pack_blocks": "with rows_in as (select lang, doc_id as position, n_chars from documents), "
     + packed("rows_in", "position", "lang"),
-    "pack_shuffled": f"""with {DOCS}, rows_in as (select id, length(input) as n_chars,
+    "pack_shuffled": f"""with {DOCS}, rows_in as (select id, length(input)::int as n_chars,
       row_number() over (order by {key(42, 'id')}, id) - 1 as position from docs), """
     + packed("rows_in", "position"),
     "corpus_roundtrip": f"""with {DOCS}, sampled as ("""
