@@ -17,7 +17,7 @@ END_OF_TURN = "<|eot_id|>"
 SUMMARY_LANGUAGES = {"ar": "Arabic", "hi": "Hindi", "en": "English"}
 NULL_TEXT = "None"
 
-# The four tests for a summarization row disagree on purpose and stay apart.
+# The four tests for a summarization row disagree on purpose and stay apart; their words are fixed values.
 RULES = ("render", "sample", "train", "score")
 
 

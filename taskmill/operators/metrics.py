@@ -11,14 +11,16 @@ from taskmill.operators.labels import distinct_labels
 from taskmill.scale import lookup, settle
 from taskmill.schema import DATASET_KEY
 
-KINDS = ("multi_label", "rouge", "single_label")
+# The parts of a dataset name that decide its metrics, case-sensitive.
+MULTI_LABEL_NAME = "Hostility"
+ROUGE_NAME = "xlsum"
 
 
 def metric_kind(dataset: str = "dataset") -> Column:
     """Which metrics a dataset gets, by its name."""
     return (
-        F.when(F.col(dataset).contains("Hostility"), "multi_label")
-        .when(F.col(dataset).contains("xlsum"), "rouge")
+        F.when(F.col(dataset).contains(MULTI_LABEL_NAME), "multi_label")
+        .when(F.col(dataset).contains(ROUGE_NAME), "rouge")
         .otherwise("single_label")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The language names of a registry and their codes.
 LANG_CODES = {"Arabic": "ar", "English": "en", "Hindi": "hi"}
 
 

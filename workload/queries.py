@@ -269,7 +269,7 @@ def prompt_classification(spark, sf):
 
 @query
 def prompt_summarization(spark, sf):
-    """Texts with their own start as summary; only one of the languages has a summary prompt."""
+    """Spanish stands in for Hindi: two languages have a summary prompt, the others fall back."""
     rows = data.documents(spark, sf).withColumn("lang", F.when(F.col("lang") == "es", "hi").otherwise(F.col("lang")))
     return records.render_prompt(rows).select("id", "text")
 
