@@ -9,6 +9,9 @@ from taskmill.llm.common import table
 from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.quality_rules import apply_quality_rules
 from taskmill.llm.repeats import remove_repeats
+from taskmill.llm.url_templates import filter_urls
+from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
+from taskmill.scale import scratch, stage
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), archive)
+    captures = assemble(stage(read_warc(spark, archive, with_payload=False), "records"))
+    return with_referred(captures, "page_id").select(
+        F.element_at("metadata.fields", F.lit("page_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        F.coalesce("computed_digest", "payload_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", F.col("referred").cast("long")).alias("refers_to"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,4 +54,6 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_decontamination, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination, op9_substring_dedup,
+)}
