@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskmill.llm import compression_quality, language_spans
 from taskmill.llm.common import table
 from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.quality_rules import apply_quality_rules
@@ -14,6 +15,18 @@ from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
 from taskmill.scale import scratch, stage
 
 
+def _remainder(modulus: int):
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(4) == 2
+    model = language_spans.fit(docs.where(~held_out))
+    found = language_spans.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -49,11 +62,22 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(5) == 0
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = compression_quality.score_quality(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination, op9_substring_dedup,
+    op1_language_id, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
+    op8_quality_classifier, op9_substring_dedup,
 )}
