@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from taskmill.llm import compression_quality, language_spans
 from taskmill.llm.common import table
+from taskmill.llm.dart_minhash import near_duplicates
 from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.quality_rules import apply_quality_rules
+from taskmill.llm.quotations import format_chats
 from taskmill.llm.repeats import remove_repeats
 from taskmill.llm.url_templates import filter_urls
 from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
@@ -27,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -77,7 +83,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = format_chats(table(spark, sf_dir, "conversations"))
+    replies = F.filter("messages", lambda m: m["reply_to"].isNotNull())
+    pair = lambda m: F.concat_ws(":", m["turn"].cast("string"), m["reply_to"].cast("string"))
+    return chats.select(
+        "conv_id", "thread_segment", "turn_segment", "n_messages", "n_quotes", "n_linked",
+        F.array_join(F.transform(replies, pair), ",").alias("replies"), "chat",
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
+    op1_language_id, op2_minhash_dedup, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
     op8_quality_classifier, op9_substring_dedup,
+    op10_chat_formatting,
 )}
