@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,17 @@ from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.quality_rules import apply_quality_rules
 from taskmill.llm.quotations import format_chats
 from taskmill.llm.repeats import remove_repeats
+from taskmill.llm.sentencepiece_lattice import encode, load_pieces
 from taskmill.llm.url_templates import filter_urls
 from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
 from taskmill.scale import scratch, stage
 
 
+# Where the public vocabulary files lie; only the driver reads them.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
 def _remainder(modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
@@ -33,6 +41,11 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), load_pieces(MODEL), keep=("doc_id",))
+    return encoded.select("doc_id", "n_ids", "ids", "round_trip")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -94,7 +107,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_minhash_dedup, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
+    op1_language_id, op2_minhash_dedup, op3_sentencepiece, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
     op8_quality_classifier, op9_substring_dedup,
     op10_chat_formatting,
 )}
