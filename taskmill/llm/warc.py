@@ -214,5 +214,7 @@ def with_referred(captures: DataFrame, name: str) -> DataFrame:
     """Add to every revisit the metadata field ``name`` of the response it refers to, as ``referred``."""
     of = captures.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(
         F.min(F.element_at("metadata.fields", F.lit(name))).alias("referred")
-    )
-    return captures.join(of, "refers_to", "left")
+    ).withColumnRenamed("refers_to", "__of")
+    # Responses refer to themselves here, so that their null keys do not meet in one task.
+    joined = captures.join(of, F.coalesce("refers_to", "record_id") == F.col("__of"), "left")
+    return joined.select(*captures.columns, F.when(F.col("refers_to").isNotNull(), F.col("referred")).alias("referred"))
