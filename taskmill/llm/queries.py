@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +19,6 @@ from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
 from taskmill.scale import scratch, stage
 
 
-# Where the public vocabulary files lie; only the driver reads them.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-
-
 def _remainder(modulus: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
@@ -42,7 +36,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents"), load_pieces(MODEL), keep=("doc_id",))
+    encoded = encode(table(spark, sf_dir, "documents"), load_pieces(corpus_pipeline.MODEL), keep=("doc_id",))
     return encoded.select("doc_id", "n_ids", "ids", "round_trip")
 
 
@@ -106,8 +100,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minhash_dedup, op3_sentencepiece, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
     op8_quality_classifier, op9_substring_dedup,
-    op10_chat_formatting,
+    op10_chat_formatting, pipeline,
 )}
