@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskmill.llm.common import STEP, mixed, window_hashes, word_hashes
@@ -19,8 +19,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 40 bands of 6: two texts of similarity 0.8 share a band with probability 1 - 5e-6, of 0.5 with 0.47.
 BANDS, ROWS = 40, 6
-# Leaders of a bucket that all its members are compared with, before what is left is compared in full.
-LEADERS = ("min", "max")
 
 # Time is cut into slabs: [0, 1/64), then doubling up to 1, then one unit each.
 _FINE = 7
@@ -190,6 +188,40 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", F.pandas_udf(_jaccard, "double")("__a", "__b").alias("similarity")).where(F.col("similarity") >= least)
 
 
+def across_classes(sets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that may reach ``least``: none that does is missing.
+
+    Two sets of sizes m and n that do have t = least / (1 + least) * (m + n) cells in common. With the cells
+    of every set in one order, rarest first, their first common cell comes at places i and j (from 0) with
+    min(m - i, n - j) >= t. So only the first places of each set are joined, and a cell that one class
+    alone has there is not joined at all. Texts that lie just beyond ``least`` around a common origin have
+    their own rare cells in these places, and so do not meet each other.
+    """
+    @F.pandas_udf("array<bigint>")
+    def numbers(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: _numbers(c).view(np.int64))
+
+    size = (F.octet_length("cells") / 5).cast("long")
+    each = sets.join(classes, "id").select("id", "label", size.alias("size"), F.explode(numbers("cells")).alias("cell"))
+    each = stage(each, "each")
+    frequent = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(frequent, "cell")
+    # Cells that no other set has are the rarest, so the shared ones come after all of them.
+    order = Window.partitionBy("id").orderBy("n", "cell")
+    placed = shared.withColumns({
+        "__rank": F.row_number().over(order) - 1, "__of": F.count(F.lit(1)).over(Window.partitionBy("id")),
+    }).withColumn("left", F.col("__of") - F.col("__rank")).where(F.col("left") >= F.col("size") * least - 1e-6)
+    first = stage(placed.select("id", "label", "size", "cell", "left"), "first")
+    mixed_ = first.groupBy("cell").agg(F.min("label").alias("__least"), F.max("label").alias("__most")).where(
+        "__least <> __most"
+    ).select("cell")
+    one = first.join(mixed_, "cell")
+    two = one.select("cell", *[F.col(c).alias(f"__{c}") for c in ("id", "label", "size", "left")])
+    enough = F.least("left", "__left") >= (F.col("size") + F.col("__size")) * (least / (1 + least)) - 1e-6
+    pairs = one.join(two, (one["cell"] == two["cell"]) & F.expr("id < __id and label <> __label") & enough)
+    return pairs.select(F.col("id").alias("a"), F.col("__id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every linked id: the smallest id that links lead to.
 
@@ -222,11 +254,11 @@ def near_duplicates(
     ASCII other than letters and digits taken as spaces, weight is the number of occurrences) is at least
     ``least``; classes are the connected components. Equal texts are one node from the start. A text of
     fewer than five words is one shingle; one without words, or null, is linked to nothing. Rows with
-    equal ids are in one class; a null id gets a null class. Other columns are not read.
+    words and equal ids are in one class; a null id gets a null class. Other columns are not read.
 
-    Signatures only choose whom to compare. In each bucket of a band all members are first compared with
-    one leader, then with another; then every pair whose classes still differ is compared, so no pair of
-    a bucket is left out, and within a class none is compared for nothing.
+    Signatures choose whom to compare. In each bucket of a band all members are compared with one leader.
+    Members of buckets in which several classes remain are joined across classes by an exact prefix filter
+    (see ``across_classes``), so no link is left out, and no pair within a class is looked at.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     seen = stage(sketches(rows.where(F.col("id").isNotNull())), "sketches")
@@ -240,32 +272,21 @@ def near_duplicates(
     nodes = crowded.select(F.col("rep").alias("id")).distinct()
     sets = stage(_cell_sets(lookup(rows, settle(nodes), ["id"], "inner")), "cells")
 
-    links = tested = None
-    labelled = crowded.withColumn("label", F.col("rep"))
-    for leader in (*LEADERS, None):
-        if links is not None:
-            names = components(links).withColumnRenamed("id", "rep")
-            labelled = stage(crowded.join(names, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
-        open_ = labelled.groupBy("key").agg(
-            F.min("label").alias("__least"), F.max("label").alias("__most"), F.min("rep").alias("min"), F.max("rep").alias("max")
-        ).where("__least <> __most")
-        members = labelled.select("key", "rep", "label")
-        if leader:
-            pairs = members.join(open_.select("key", F.col(leader).alias("__leader")), "key").where(
-                "rep <> __leader"
-            ).select(F.least("rep", "__leader").alias("a"), F.greatest("rep", "__leader").alias("b"))
-        else:
-            left = members.join(open_.select("key"), "key")
-            pairs = left.join(left.select("key", F.col("rep").alias("__rep"), F.col("label").alias("__label")), "key").where(
-                "rep < __rep and label <> __label"
-            ).select(F.col("rep").alias("a"), F.col("__rep").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(verified(pairs, sets, least), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+    # First every member of a bucket is compared with the bucket's leader.
+    leaders = crowded.groupBy("key").agg(F.min("rep").alias("a"))
+    pairs = stage(
+        crowded.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs"
+    )
+    links = stage(verified(pairs, sets, least), "links")
+    # Then whatever lies in a bucket with several classes is compared across classes.
+    names = components(links).withColumnRenamed("id", "rep")
+    labelled = stage(crowded.join(names, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+    mixed_ = labelled.groupBy("key").agg(F.min("label").alias("__least"), F.max("label").alias("__most")).where(
+        "__least <> __most"
+    ).select("key")
+    unsettled = stage(labelled.join(mixed_, "key").select(F.col("rep").alias("id"), "label").distinct(), "unsettled")
+    across = stage(across_classes(sets, unsettled, least), "across")
+    links = links.unionByName(stage(verified(across, sets, least), "links"))
 
     # Rows with one id but several texts join what these texts belong to.
     same = seen.join(texts.select("content", "rep"), "content").where("id <> rep").select(
