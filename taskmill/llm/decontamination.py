@@ -112,12 +112,12 @@ def matching_shingles(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """One row per item and window start: the window's length, and its shingles with their offsets."""
+    """The distinct windows of every item: their length and the hashes of their shingles in order."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - WINDOW))
     size = F.least(F.col("n"), F.lit(WINDOW))
     width = size - F.least(F.col("n"), F.lit(SHINGLE)) + 1
     return items.select("item", size.alias("len"), "grams", width.alias("__w"), F.explode(starts).alias("start")) \
-        .select("item", "len", "start", F.slice("grams", F.col("start") + 1, F.col("__w")).alias("grams"))
+        .select("item", "len", F.slice("grams", F.col("start") + 1, F.col("__w")).alias("grams")).distinct()
 
 
 def occurrences(staged: DataFrame, items: DataFrame) -> DataFrame:
@@ -131,10 +131,10 @@ def occurrences(staged: DataFrame, items: DataFrame) -> DataFrame:
         "row", "n_words", F.col("h.pos").alias("pos"), F.col("h.gram").alias("gram")
     )
     frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
-    each = item_windows(items).select("item", "len", "start", "grams", F.posexplode("grams").alias("off", "gram"))
+    each = item_windows(items).select("item", "len", "grams", F.posexplode("grams").alias("off", "gram"))
     # Windows that cannot occur, having a shingle no document has, fall out of this join or of the cover.
     ranked = each.join(frequency, "gram")
-    prefix = ranked.groupBy("item", "len", "start", "grams").agg(
+    prefix = ranked.groupBy("item", "len", "grams").agg(
         F.min(F.struct("freq", "gram", "off")).alias("p"), F.count(F.lit(1)).alias("known")
     ).where(F.col("known") == F.size("grams")).select(
         "item", "len", "grams", F.col("p.gram").alias("gram"), F.col("p.off").alias("off")
