@@ -141,7 +141,10 @@ def filter_urls(
         "shapes",
     )
     tree = templates(shapes)
-    found = tree.select("host", "segments", "template").join(judged_templates(tree), ["host", "template"])
+    # A template of a large host has many paths, so the shares are looked up instead of shuffled to them.
+    found = lookup(
+        tree.select("host", "segments", "template"), stage(judged_templates(tree), "shares"), ["host", "template"]
+    )
     found = stage(found.select(
         F.col("host").alias("__host"), F.col("segments").alias("__segments"), "template", "bad_share"
     ), "judged")
