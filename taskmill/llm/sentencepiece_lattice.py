@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import heapq
-import math
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from taskmill.llm.common import let, text_bytes
+from taskmill.llm.common import STEP, found_in, let
 
 SPACE = "▁"
 # Boundaries of a word are bits of one long, so longer words are cut by the small merge below instead.
 MAX_CHARS = 62
-# Words are told apart once per chunk of about this many bytes of text.
-CHUNK_BYTES = 24 * 1024 * 1024
+# Distinct words are cut once per batch of about this many bytes of text.
+BATCH_BYTES = 8 * 1024 * 1024
 # What an unknown character scores below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 # A model of more pieces than this is refused: the piece table goes to every task.
@@ -239,22 +238,178 @@ def merged(unit: str, pieces: Pieces) -> list[str]:
     return out
 
 
-def _ids(cut: list[str], pieces: Pieces) -> array:
-    out = array("i")
-    for piece in cut:
-        found = pieces.ids.get(piece)
-        if found is not None:
-            out.append(found)
-        elif pieces.byte_ids:
-            out.extend(pieces.byte_ids[b] for b in piece.encode())
-        else:
-            out.append(pieces.unknown)
-    return out
+class Lattice:
+    """The piece table as arrays, for cutting many distinct words at once.
 
+    The steps are those of ``segment_units``: substrings up to the longest piece are matched with the
+    pieces, the matches of a word are its lattice, and one fold over all lattices finds the cuts.
+    """
 
-def _cut(unit: str, bounds: int) -> list[str]:
-    places = [i for i in range(len(unit)) if bounds >> i & 1]
-    return [unit[a:b] for a, b in zip(places, [*places[1:], len(unit)])]
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        found = list(pieces.ids)
+        self.lengths = np.array([len(p) for p in found], np.int64)
+        codes = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        begin = np.cumsum(self.lengths) - self.lengths
+        hashes = np.zeros(len(found), np.uint64)
+        for j in range(pieces.longest):
+            here = self.lengths > j
+            hashes[here] = hashes[here] * np.uint64(STEP) + codes[begin[here] + j] + np.uint64(1)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.ids = np.array([pieces.ids[p] for p in found], np.int64)[order]
+        self.scores = np.array([pieces.scores[p] for p in found])[order]
+        self.ranks = np.unique(-self.scores, return_inverse=True)[1].astype(np.int64)
+        # How long a piece with these two first characters can be.
+        pairs = [(hash_, n) for hash_, n in zip(self._pairs(codes, begin), self.lengths) if n > 1]
+        longest: dict[int, int] = {}
+        for hash_, n in pairs:
+            longest[int(hash_)] = max(int(n), longest.get(int(hash_), 0))
+        self.pair = np.array(sorted(longest), np.uint64)
+        self.reach = np.array([longest[int(h)] for h in self.pair], np.int64)
+
+    @staticmethod
+    def _pairs(codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        second = np.minimum(begin + 1, len(codes) - 1)
+        return (codes[begin] + np.uint64(1)) * np.uint64(STEP) + codes[second] + np.uint64(1)
+
+    def edges(self, codes: np.ndarray, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of all substrings of two characters or more that are pieces."""
+        at = np.flatnonzero(np.arange(len(codes)) + 1 < end[word])
+        pair = found_in(self._pairs(codes, at), self.pair)
+        at, reach = at[pair >= 0], self.reach[pair[pair >= 0]]
+        hashes = codes[at] + np.uint64(1)
+        out = []
+        for n in range(2, self.pieces.longest + 1):
+            more = (reach >= n) & (at + n <= end[word[at]])
+            at, reach, hashes = at[more], reach[more], hashes[more]
+            if not len(at):
+                break
+            hashes = hashes * np.uint64(STEP) + codes[at + n - 1] + np.uint64(1)
+            piece = found_in(hashes, self.hashes)
+            hit = piece >= 0
+            out.append((at[hit], np.full(int(hit.sum()), n), piece[hit]))
+        if not out:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, where each word's ids begin and end)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        end = np.cumsum(sizes)
+        begin = end - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        short = sizes <= MAX_CHARS
+        place, length, piece = self.edges(codes, word, np.where(short, end, begin))
+        owner = word[place]
+        start = (place - begin[owner]).astype(np.uint64)
+        fold = self._merged if self.pieces.kind == "bpe" else self._best_ways
+        bounds = fold(sizes, codes, begin, owner, start, length.astype(np.uint64), piece)
+        first = np.zeros(len(codes), bool)
+        offset = (np.arange(len(codes)) - begin[word]).astype(np.uint64)
+        fits = short[word]
+        first[fits] = (bounds[word[fits]] >> offset[fits]) & np.uint64(1) > 0
+        for i in np.flatnonzero(~short):
+            first[begin[i] + np.cumsum([0, *map(len, merged(words[i], self.pieces)[:-1])])] = True
+        return self._ids_of(words, codes, np.flatnonzero(first), word, end)
+
+    def _merged(self, sizes, codes, begin, owner, start, length, piece) -> np.ndarray:
+        """Join the best joinable pair of every word, round by round; words that have none drop out."""
+        one = np.uint64(1)
+        bounds = (one << (np.minimum(sizes, MAX_CHARS).astype(np.uint64) + one)) - one
+        ends = (one << start) | (one << (start + length))
+        inside = ((one << (length - one)) - one) << (start + one)
+        order = np.lexsort((start, self.ranks[piece], owner))
+        owner, ends, inside = owner[order], ends[order], inside[order]
+        while len(owner):
+            now = bounds[owner]
+            whole = (now & ends) == ends
+            between = np.bitwise_count(now & inside)
+            joinable = np.flatnonzero(whole & (between == 1))
+            if not len(joinable):
+                break
+            best = joinable[_first_of_runs(owner[joinable])]
+            bounds[owner[best]] &= ~inside[best]
+            going = np.zeros(len(sizes), bool)
+            going[owner[best]] = True
+            keep = whole & (between > 0) & going[owner]
+            keep[best] = False
+            owner, ends, inside = owner[keep], ends[keep], inside[keep]
+        return bounds
+
+    def _best_ways(self, sizes, codes, begin, owner, start, length, piece) -> np.ndarray:
+        """Viterbi over all words at once, one place of the words after the other."""
+        longest = int(min(MAX_CHARS, sizes.max(initial=0)))
+        lone = found_in(codes + np.uint64(1), self.hashes)
+        single = np.where(lone >= 0, self.scores[lone], self.scores.min() - UNKNOWN_PENALTY)
+        score = np.full((len(sizes), longest + 1), -np.inf)
+        score[:, 0] = 0
+        back = np.zeros((len(sizes), longest + 1), np.int64)
+        start, stop = start.astype(np.int64), (start + length).astype(np.int64)
+        order = np.argsort(stop, kind="stable")
+        owner, start, stop, gain = owner[order], start[order], stop[order], self.scores[piece[order]]
+        for at in range(1, longest + 1):
+            here = np.flatnonzero((sizes >= at) & (sizes <= MAX_CHARS))
+            a, b = np.searchsorted(stop, [at, at + 1])
+            who = np.concatenate([owner[a:b], here])
+            since = np.concatenate([start[a:b], np.full(len(here), at - 1)])
+            total = score[who, since] + np.concatenate([gain[a:b], single[begin[here] + at - 1]])
+            order = np.lexsort((since, total, who))
+            who, since, total = who[order], since[order], total[order]
+            last = np.append(who[1:] != who[:-1], True) if len(who) else np.empty(0, bool)
+            score[who[last], at], back[who[last], at] = total[last], since[last]
+        bounds = np.zeros(len(sizes), np.uint64)
+        rows = np.flatnonzero(sizes <= MAX_CHARS)
+        at = sizes[rows].copy()
+        while len(rows):
+            bounds[rows] |= np.uint64(1) << at.astype(np.uint64)
+            at = np.where(at > 0, back[rows, at], -1)
+            rows, at = rows[at >= 0], at[at >= 0]
+        return bounds
+
+    def _ids_of(self, words, codes, first, word, end) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(np.append(first, len(codes)))
+        hashes = np.zeros(len(first), np.uint64)
+        for j in range(min(self.pieces.longest, int(size.max(initial=0)))):
+            here = size > j
+            hashes[here] = hashes[here] * np.uint64(STEP) + codes[first[here] + j] + np.uint64(1)
+        piece = found_in(hashes, self.hashes)
+        ids = np.where(piece >= 0, self.ids[piece], -1)
+        strange = np.flatnonzero(piece < 0)
+        counts = np.ones(len(first), np.int64)
+        spelled = {}
+        if len(strange) and self.pieces.byte_ids:
+            for code in np.unique(codes[first[strange]]).tolist():
+                spelled[code] = [self.pieces.byte_ids[b] for b in chr(code).encode()]
+            counts[strange] = [len(spelled[c]) for c in codes[first[strange]].tolist()]
+        out = np.repeat(ids, counts)
+        if len(strange):
+            spell = (spelled.get(c, [self.pieces.unknown]) for c in codes[first[strange]].tolist())
+            out[np.repeat(piece < 0, counts)] = [i for ids_ in spell for i in ids_]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return out.astype(np.int32), upto[np.searchsorted(first, np.concatenate([[0], end]))]
+
+
+def _first_of_runs(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def encoded(texts: list[str | None], lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, where each text's ids begin and end); each distinct word is cut once."""
+    find = re.compile(lattice.pieces.pattern()).findall
+    units = [find(_escaped(t)) if t else [] for t in texts]
+    sizes = np.array([len(u) for u in units], np.int64)
+    flat = np.empty(int(sizes.sum()), dtype=object)
+    flat[:] = [u for us in units for u in us]
+    if not len(flat):
+        return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    codes, distinct = pd.factorize(flat)
+    ids, ends = lattice.cut(list(distinct))
+    counts = np.diff(ends)[codes]
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    out = ids[np.repeat(ends[codes] - upto[:-1], counts) + np.arange(int(upto[-1]))]
+    return out, upto[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 def decoded(ids, pieces: Pieces) -> str:
@@ -264,69 +419,47 @@ def decoded(ids, pieces: Pieces) -> str:
 
 def encode(
     docs: DataFrame, pieces: Pieces, text: str = "text", keep: tuple[str, ...] | None = None,
-    chunk_bytes: int = CHUNK_BYTES,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Add ``ids``, ``n_ids`` and ``round_trip`` (whether decoding gives the text back) to every document.
 
-    Texts are cut into words that no piece reaches over. Each chunk's distinct words go through the
-    lattice of ``segment_units`` once; documents and words of a chunk lie in the same partition, so the
-    texts move once and the words not at all. Of the other columns ``keep`` stay, or all. A null or empty text has no ids. A space and U+2581 are the
-    same to a model, so a text with U+2581 does not make the round trip. Repeated rows stay; old columns of
-    the new names are replaced.
+    Texts are cut into words that no piece reaches over, and each distinct word of a batch goes through the
+    lattice once. Nothing is shuffled. Of the other columns ``keep`` stay, or all. A null or empty text has
+    no ids. A space and U+2581 are the same to a model, so a text with U+2581 does not make the round trip.
+    Repeated rows stay; old columns of the new names are replaced.
     """
     new = ("ids", "n_ids", "round_trip")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    spark = docs.sparkSession
-    chunks = max(1, math.ceil(text_bytes(docs, text) / chunk_bytes))
-    parts = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(
-        *[c for c in keep if c != text], F.col(text).alias("__text"),
-        F.pmod(F.xxhash64(*keep, text), F.lit(chunks)).cast("int").alias("__chunk"),
-    ).repartition(parts, "__chunk")
-    whole = F.when(F.col("__text") != "", F.col("__text"))
-    whole = F.concat(F.lit(SPACE), F.replace(whole, F.lit(" "), F.lit(SPACE)))
-    # Both readers of the rows use all columns, so that they share one exchange.
-    whole = F.when(F.xxhash64(*[c for c in rows.columns if c != "__text"]) == 0, F.concat(whole, F.lit(""))).otherwise(whole)
-    units = rows.select(
-        "__chunk", F.explode(F.regexp_extract_all(whole, F.lit(pieces.pattern()), F.lit(0))).alias("unit")
-    ).distinct()
-    cuts = segment_units(units, pieces, ("__chunk",)).withColumnRenamed("__chunk", "__of")
+    rows = docs.select(*[c for c in keep if c != text], F.col(text).alias("__text"))
     schema = T.StructType(
-        [docs.schema[c] for c in keep]
-        + T.StructType.fromDDL("ids array<int>, n_ids int, round_trip boolean").fields
+        [docs.schema[c] for c in keep] + T.StructType.fromDDL("ids array<int>, n_ids int, round_trip boolean").fields
     )
     arrow = to_arrow_schema(schema)
-    sent = spark.sparkContext.broadcast(pieces)
-
-    def assemble(key: tuple, docs: pa.Table, cuts: pa.Table) -> pa.Table:
-        pieces = sent.value
-        bounds = dict(zip(cuts.column("unit").to_pylist(), cuts.column("bounds").to_pylist()))
-        known: dict[str, array] = {}
-        find = re.compile(pieces.pattern()).findall
-        ids, ends, same = array("i"), [0], []
-        for value in docs.column("__text"):
-            value = value.as_py()
-            begin = len(ids)
-            for unit in find(_escaped(value)) if value else ():
-                found = known.get(unit)
-                if found is None:
-                    cut = _cut(unit, bounds[unit]) if unit in bounds else \
-                        merged(unit, pieces) if len(unit) > MAX_CHARS else list(unit)
-                    found = known[unit] = _ids(cut, pieces)
-                ids.extend(found)
-            ends.append(len(ids))
-            same.append(decoded(ids[begin:], pieces) == (value or ""))
-        ends = np.array(ends, np.int32)
-        out = {
-            "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32())),
-            "n_ids": pa.array(np.diff(ends), pa.int32()), "round_trip": pa.array(same, pa.bool_()),
-        }
-        return pa.Table.from_arrays(
-            [out[f.name].cast(f.type) if f.name in out else docs.column("__text" if f.name == text else f.name) for f in arrow],
-            schema=arrow,
-        )
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    return rows.groupBy("__chunk").cogroup(cuts.groupBy("__of")).applyInArrow(assemble, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(sent.value)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False)
+            turn = np.cumsum(sizes) // batch_bytes
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                texts = part.column("__text").to_pylist()
+                ids, ends = encoded(texts, lattice)
+                same = [
+                    decoded(ids[x:y].tolist(), lattice.pieces) == (t or "") for t, x, y in zip(texts, ends[:-1], ends[1:])
+                ]
+                out = {
+                    "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                    "n_ids": pa.array(np.diff(ends), pa.int32()), "round_trip": pa.array(same, pa.bool_()),
+                }
+                yield pa.RecordBatch.from_arrays([
+                    out[f.name].cast(f.type) if f.name in out else part.column("__text" if f.name == text else f.name)
+                    for f in arrow
+                ], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
