@@ -21,8 +21,9 @@ from taskmill.llm.common import STEP, found_in, let
 SPACE = "▁"
 # Boundaries of a word are bits of one long, so longer words are cut by the small merge below instead.
 MAX_CHARS = 62
-# Distinct words are cut once per batch of about this many bytes of text.
-BATCH_BYTES = 8 * 1024 * 1024
+# Distinct words are cut once per batch of about this many bytes of text, so many at a time.
+BATCH_BYTES = 4 * 1024 * 1024
+WORDS_AT_ONCE = 1 << 15
 # What an unknown character scores below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 # A model of more pieces than this is refused: the piece table goes to every task.
@@ -405,7 +406,9 @@ def encoded(texts: list[str | None], lattice: Lattice) -> tuple[np.ndarray, np.n
     if not len(flat):
         return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     codes, distinct = pd.factorize(flat)
-    ids, ends = lattice.cut(list(distinct))
+    cuts = [lattice.cut(list(distinct[i : i + WORDS_AT_ONCE])) for i in range(0, len(distinct), WORDS_AT_ONCE)]
+    ids = np.concatenate([c[0] for c in cuts])
+    ends = np.cumsum(np.concatenate([[0], *(np.diff(c[1]) for c in cuts)]))
     counts = np.diff(ends)[codes]
     upto = np.concatenate([[0], np.cumsum(counts)])
     out = ids[np.repeat(ends[codes] - upto[:-1], counts) + np.arange(int(upto[-1]))]
