@@ -246,6 +246,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", switch:
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
-    return docs.withColumn("__judged", judge(lettered)).select(
+    # Not to be moved: a filter on the outcome would otherwise judge every text a second time.
+    return docs.withColumn("__judged", judge.asNondeterministic()(lettered)).select(
         *kept, "__judged.lang_pred", "__judged.score", "__judged.spans"
     )

@@ -22,8 +22,8 @@ SPACE = "▁"
 # Boundaries of a word are bits of one long, so longer words are cut by the small merge below instead.
 MAX_CHARS = 62
 # Distinct words are cut once per batch of about this many bytes of text, so many at a time.
-BATCH_BYTES = 4 * 1024 * 1024
-WORDS_AT_ONCE = 1 << 15
+BATCH_BYTES = 2 * 1024 * 1024
+WORDS_AT_ONCE = 1 << 14
 # What an unknown character scores below the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
 # A model of more pieces than this is refused: the piece table goes to every task.
