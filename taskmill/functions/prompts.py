@@ -88,12 +88,11 @@ class ChatTemplate:
     end: str = ""
 
 
-def chat_text(column: str | Column, template: ChatTemplate = ChatTemplate()) -> Column:
+def chat_text(column: str | Column, template: ChatTemplate = ChatTemplate(), open_turn: bool = False) -> Column:
+    """The messages as one string; ``open_turn`` leaves the last turn to be gone on with by a model."""
     turns = F.transform(
         column,
-        lambda m: F.concat(
-            F.lit(template.before_role), m["role"], F.lit(template.after_role),
-            m["content"], F.lit(template.after_content),
-        ),
+        lambda m: F.concat(F.lit(template.before_role), m["role"], F.lit(template.after_role), m["content"]),
     )
-    return F.concat(F.lit(template.begin), F.array_join(turns, ""), F.lit(template.end))
+    last = "" if open_turn else template.after_content + template.end
+    return F.concat(F.lit(template.begin), F.array_join(turns, template.after_content), F.lit(last))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskmill.functions import prompts, text
@@ -49,9 +49,9 @@ def to_messages(df: DataFrame, variant: str = "native") -> DataFrame:
     return df.withColumn("messages", column)
 
 
-def render_chat(df: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Add ``Text``: the messages of a row as one string."""
-    return df.withColumn("Text", prompts.chat_text("messages", template))
+def render_chat(df: DataFrame, template: ChatTemplate = ChatTemplate(), open_turn: bool = False) -> DataFrame:
+    """Add ``Text``: the messages of a row as one string, the last turn left open for an answer if asked for."""
+    return df.withColumn("Text", prompts.chat_text("messages", template, open_turn))
 
 
 def clean_answers(
@@ -76,8 +76,16 @@ def first_of_duplicates(
 
 
 def pending(df: DataFrame, done: DataFrame, key: Sequence[str] = tuple(RECORD_KEY)) -> DataFrame:
-    """Rows without a result yet."""
-    return df.join(done.select(*key), list(key), "left_anti").select(*df.columns)
+    """Rows without a result yet; a null in the key is a value like any other."""
+    names = {k: f"__done_{i}" for i, k in enumerate(key)}
+    done = done.select(*(F.col(k).alias(name) for k, name in names.items()))
+
+    def same(k: str, name: str) -> Column:
+        a, b = F.col(k), F.col(name)
+        # A plain comparison can use a partitioning by the key; nulls inside a struct are equal in it.
+        return a.eqNullSafe(b) if df.schema[k].nullable or done.schema[name].nullable else a == b
+
+    return df.join(done, reduce(lambda a, b: a & b, (same(*pair) for pair in names.items())), "left_anti")
 
 
 def counts(df: DataFrame, by: Sequence[str] = ("lang", "dataset")) -> DataFrame:

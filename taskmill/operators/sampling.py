@@ -12,7 +12,6 @@ from taskmill.functions.prompts import is_summarization
 from taskmill.scale import lookup, settle
 
 BUCKET_ROWS = 4096
-MAX_BUCKET_BITS = 16
 
 
 def stratified_sample(
@@ -137,9 +136,9 @@ def _sample(
 
     rows = lookup(keyed, cuts, strata_key, "inner", null_safe=True)
     at_cut = (F.col("__key") == F.col("__cut")) & F.col(id_col).eqNullSafe(F.col("__cut_id"))
-    below = (F.col("__key") < F.col("__cut")) | (
-        (F.col("__key") == F.col("__cut")) & (F.col(id_col) <= F.col("__cut_id"))
-    )
+    # A missing id comes before all others, as it does in the order that found the cut.
+    through = F.col(id_col).isNull() | F.coalesce(F.col(id_col) <= F.col("__cut_id"), F.lit(False))
+    below = (F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & through)
     if cuts.where("__tied").isEmpty():
         return rows.where(below).select(*df.columns)
     tied = _copies(rows.where(at_cut & F.col("__tied")), df.columns, strata_key)
@@ -148,9 +147,9 @@ def _sample(
 
 def _cuts(keyed: DataFrame, strata: DataFrame, strata_key: list[str], id_col: str) -> DataFrame:
     """The key and id of the last row each stratum keeps."""
-    # A bucket holds about BUCKET_ROWS rows, until a stratum has its largest number of buckets.
+    # A bucket holds about BUCKET_ROWS rows, however large its stratum is.
     bits = F.ceil(F.log2(F.col("size") / BUCKET_ROWS))
-    shift = (KEY_BITS - F.greatest(F.lit(0), F.least(F.lit(MAX_BUCKET_BITS), bits))).cast("int")
+    shift = (KEY_BITS - F.greatest(F.lit(0), bits)).cast("int")
     strata = strata.select(*strata_key, "take", shift.alias("__shift"))
     bucket = F.expr("shiftright(__key, __shift)")
     narrow = keyed.select(*strata_key, "__key", id_col)

@@ -42,10 +42,10 @@ def build_corpus(
     """Read a split, prepare it and save it.
 
     The JSON is parsed once: sampling and ordering read a few columns several times, which
-    the staged parquet serves without parsing again.
+    the staged parquet serves without parsing again. A dataset is a folder, whatever its records say.
     """
     records = stage(read_corpus(spark, base, split, langs, layout), "corpus")
-    write_corpus(prepare(records, samples, shuffling, seed, langs), target)
+    write_corpus(prepare(records, samples, shuffling, seed, langs, ("folder_lang", "folder")), target)
 
 
 def training_chats(

@@ -18,6 +18,9 @@ SINGLE = ("accuracy",) + tuple(
     f"{m}_{a}" for a in ("macro", "micro", "weighted") for m in ("precision", "recall", "f1")
 )
 MULTI = ("f1_micro", "f1_macro", "f1_weighted", "accuracy")
+# Names of the summary rows of a report; a class of the same name gives way to them.
+SINGLE_SUMMARY = ("accuracy", "macro avg", "weighted avg")
+MULTI_SUMMARY = ("micro avg", "macro avg", "weighted avg", "samples avg", *MULTI)
 
 
 def of_kind(df: DataFrame, kind: str) -> DataFrame:
@@ -53,8 +56,9 @@ def _long(wide: DataFrame, by: list[str], names: Sequence[str]) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*pairs)))
 
 
-def _report_json(report: DataFrame, by: list[str]) -> DataFrame:
+def _report_json(report: DataFrame, by: list[str], summary: Sequence[str]) -> DataFrame:
     """Report rows as one JSON object per group, a key per class or summary row."""
+    report = report.where((F.col("kind") != "class") | ~F.coalesce(F.col("label").isin(*summary), F.lit(False)))
     row = F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")
     ordered = F.sort_array(F.collect_list(F.struct("kind", "label", row.alias("row"))))
     keyed = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["label"], r["row"])))
@@ -75,11 +79,11 @@ def metrics_documents(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), see
     classes = settle(metrics.class_report(metrics.class_counts(counts, by)))
     wide = metrics.single_label_metrics(counts, by)
     matrix = metrics.confusion_matrix(counts, by, nested=True)
-    report = metrics.full_report(classes, by).where("label <> 'accuracy' or kind = 'class'")
+    report = metrics.full_report(classes, by).where("label <> 'accuracy'")
     accuracy = F.concat(F.lit(',"accuracy":'), F.col("accuracy").cast("string"))
     single = (
         wide.join(matrix.select(*by, "confusion_matrix"), by)
-        .join(_report_json(report, by), by)
+        .join(_report_json(report, by, SINGLE_SUMMARY), by)
         .select(
             *by,
             F.concat(
@@ -96,7 +100,7 @@ def metrics_documents(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), see
     many = settle(multi_counts(cleaned, by))
     multi = (
         metrics.multi_label_metrics(many, by)
-        .join(_report_json(metrics.multi_label_report(many, by), by), by)
+        .join(_report_json(metrics.multi_label_report(many, by), by, MULTI_SUMMARY), by)
         .select(
             *by,
             F.concat(

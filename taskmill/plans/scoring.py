@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskmill.operators.records import first_of_duplicates, map_batches, pending, to_messages
+from taskmill.operators.records import first_of_duplicates, pending, to_messages
 from taskmill.schema import RECORD_KEY
 from taskmill.sources.results import read_responses, write_responses
 
@@ -19,7 +21,9 @@ Predictor = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 def with_responses(df: DataFrame, predict: Predictor, parallelism: int | None = None) -> DataFrame:
     """Add ``response``: the predictor gets batches of messages, once per partition.
 
-    A predictor loads its model before its loop, so each Python worker loads it once per task.
+    A predictor loads its model before its loop, so each Python worker loads it once per task. It has to
+    answer every batch, in order, with one answer per row; anything else fails the job. Only the messages
+    become pandas; the other columns pass through unchanged.
     ``parallelism`` spreads few but expensive rows over that many tasks.
     """
     columns = df.columns
@@ -28,24 +32,33 @@ def with_responses(df: DataFrame, predict: Predictor, parallelism: int | None =
     if parallelism:
         rows = rows.repartition(parallelism, *RECORD_KEY)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
 
         def messages() -> Iterator[pd.Series]:
             for batch in batches:
                 waiting.append(batch)
-                yield batch["messages"]
+                yield batch.column("messages").to_pandas()
 
         for answers in predict(messages()):
-            batch = waiting.pop(0)[columns]
-            yield batch.assign(response=answers.to_numpy())
+            if not waiting or len(answers) != waiting[0].num_rows:
+                raise ValueError("the predictor has to yield one answer per row of each batch, in order")
+            batch = waiting.popleft()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.array(answers, pa.string(), from_pandas=True)],
+                schema=pa.schema([*(batch.schema.field(c) for c in columns), pa.field("response", pa.string())]),
+            )
+        if waiting or next(batches, None) is not None:
+            raise ValueError("the predictor left batches without an answer")
 
-    return map_batches(rows, run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def unscored(df: DataFrame, done: DataFrame, position: str = "position") -> DataFrame:
     """The first row of each key that has no result; both steps share one partitioning."""
-    return pending(first_of_duplicates(df, position), done)
+    record = F.struct(*RECORD_KEY)
+    first = first_of_duplicates(df.withColumn("__record", record), position, ["__record"])
+    return pending(first, done.select(record.alias("__record")), ["__record"]).drop("__record")
 
 
 def score(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,10 @@ def _multi_line(layout: str) -> bool:
     return layout == "array"
 
 
+def _strict(spark: SparkSession, schema: T.StructType, layout: str) -> DataFrameReader:
+    return spark.read.schema(schema).options(multiLine=_multi_line(layout), mode="FAILFAST")
+
+
 def read_corpus(
     spark: SparkSession,
     base: str,
@@ -37,10 +41,11 @@ def read_corpus(
     """All datasets of a split, tagged with ``folder_lang`` and ``folder``.
 
     Language and split select the files. A JSON array is one task per file, so a large corpus
-    is better kept as JSON Lines (``layout='lines'``), which Spark reads in parallel.
+    is better kept as JSON Lines (``layout='lines'``), which Spark reads in parallel. A record that does
+    not parse fails the job.
     """
     paths = [f"{base}/{lang}/*/{split}.json" for lang in langs]
-    rows = spark.read.schema(schema).option("multiLine", _multi_line(layout)).json(paths)
+    rows = _strict(spark, schema, layout).json(paths)
     # The split may be one file, or a folder of files as Spark writes it.
     place = rf"([^/]+)/([^/]+)/{re.escape(split)}\.json(/[^/]*)?$"
     path = F.col("_metadata.file_path")
@@ -55,8 +60,8 @@ def read_corpus(
 def read_records(
     spark: SparkSession, path: str, layout: str = "array", schema: T.StructType = INSTRUCTION
 ) -> DataFrame:
-    """Records to score, with their input position."""
-    rows = spark.read.schema(schema).option("multiLine", _multi_line(layout)).json(path)
+    """Records to score, with their input position; a record that does not parse fails the job."""
+    rows = _strict(spark, schema, layout).json(path)
     return with_position(rows)
 
 

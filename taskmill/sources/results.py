@@ -38,31 +38,38 @@ def read_results(
     blank = F.trim("__text") == ""
     if not whole:
         raw = raw.where(~blank)
+    # Read as the only element of an array, so text after the object does not go unnoticed.
     parsed = F.from_json(
-        "__text",
-        T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())]),
+        F.concat(F.lit('{"records":['), F.col("__text"), F.lit("]}")),
+        T.StructType([
+            T.StructField("records", T.ArrayType(schema)), T.StructField(CORRUPT, T.StringType()),
+        ]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
     )
     # Unpacked by a generator, so a filter on the outcome does not parse the text again.
     rows = raw.select("*", F.inline(F.array(parsed)))
-    broken = F.col(CORRUPT).isNotNull() | blank
-    good = rows.where(~broken).select(*schema.names, "experiment")
+    one = (F.size("records") == 1) & F.get("records", F.lit(0)).isNotNull()
+    broken = F.col(CORRUPT).isNotNull() | blank | ~F.coalesce(one, F.lit(False))
+    first = F.get("records", F.lit(0))
+    good = rows.where(~broken).select(*(first[name].alias(name) for name in schema.names), "experiment")
     bad = rows.where(broken).select("experiment", F.col("__file").alias("file"), F.col("__text").alias("text"))
     return good, bad
 
 
 def write_responses(df: DataFrame, path: str) -> None:
-    """Append results below ``lang=.../dataset=...``; the committer adds a job's files as one.
+    """Append results in folders by language and dataset; the committer adds a job's files as one.
 
-    Rows are rebalanced by dataset: one file for a small dataset, many for a large one.
+    Rows are rebalanced by dataset: one file for a small dataset, many for a large one. The folders are
+    named by copies of the columns, because a folder name cannot tell an empty text from a null.
     """
-    df.hint("rebalance", "lang", "dataset").write.mode("append").partitionBy("lang", "dataset").json(path)
+    copies = df.withColumns({"of_lang": F.col("lang"), "of_dataset": F.col("dataset")})
+    copies.hint("rebalance", "lang", "dataset").write.mode("append").partitionBy("of_lang", "of_dataset").json(path)
 
 
 def read_responses(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:
     """The results written so far; none if there are none yet."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).json(path).select(*schema.names)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

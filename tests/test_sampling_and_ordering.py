@@ -186,3 +186,12 @@ def test_empty_inputs(spark):
     assert sampling.stratified_sample(empty, 5).count() == 0
     assert ordering.shuffle(empty, "fully").count() == 0
     assert "position" in ordering.shuffle(empty, "by_task").columns
+
+
+def test_rows_without_id_are_sampled_like_others(spark):
+    rows = [(None if i % 3 == 0 else str(i), "en", "d", f"l{i % 2}") for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, lang string, dataset string, output string")
+    for n in range(1, 12):
+        for seed in (42, 7):
+            assert sampling.uniform_sample(df, n, seed=seed).count() == n
+            assert sampling.stratified_sample(df, n, seed=seed).count() == n

@@ -4,6 +4,7 @@ from collections import Counter
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taskmill import schema
 from taskmill.operators import records
@@ -190,3 +191,44 @@ def test_first_of_duplicates_and_pending(spark):
     assert {r.input for r in first.collect()} == {"a", "c"}
     done = rows.where("lang = 'ar'")
     assert {r.input for r in records.pending(first, done).collect()} == {"a"}
+
+
+def test_predictor_has_to_answer_everything(spark):
+    rows = spark.range(10).select(
+        F.col("id").cast("string").alias("id"), F.lit("en").alias("lang"), F.lit("d").alias("dataset"), F.lit("t").alias("task"),
+        F.lit("Do.").alias("instruction"), F.lit("x").alias("input"),
+        F.when(F.col("id") > 0, F.col("id") + 2**60).alias("large"),
+    ).coalesce(1)
+    got = scoring.with_responses(rows, lambda batches: (b.map(lambda m: m[-1]["role"]) for b in batches)).collect()
+    assert [r.large for r in got] == [None, *(i + 2**60 for i in range(1, 10))] and {r.response for r in got} == {"assistant"}
+    for lazy in (lambda batches: iter(()), lambda batches: (b.iloc[:3].map(str) for b in batches)):
+        with pytest.raises(Exception, match="predictor"):
+            scoring.with_responses(rows, lazy).collect()
+
+
+def test_empty_and_missing_keys_are_scored_once(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("1", "", "en"), ("1", None, "en"), ("1", "d", None), (None, "d", "en")], "id string, dataset string, lang string"
+    ).select("*", F.lit("t").alias("task"), F.lit("Do.").alias("instruction"), F.lit("x").alias("input"))
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        scoring.score(rows, lambda batches: (b.map(len).map(str) for b in batches), path)
+    schema = T.StructType(rows.schema.fields + [T.StructField("response", T.StringType())])
+    got = results.read_responses(spark, path, schema).select("id", "dataset", "lang").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, rows.select("id", "dataset", "lang").collect()), key=str)
+
+
+def test_records_that_do_not_parse_fail(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "input": "x"}\n{"id": "2", "inp')
+    with pytest.raises(Exception):
+        corpus.read_records(spark, str(tmp_path / "a.json"), "lines").collect()
+
+
+def test_text_after_a_result_is_quarantined(spark, tmp_path):
+    folder = tmp_path / "exp" / "d"
+    folder.mkdir(parents=True)
+    texts = ['{"id":"1","response":"a"} trailing garbage {', '{"id":"2","response":"b"}\n', '{"id":"3"},{"id":"4"}', "[]", " "]
+    for i, text in enumerate(texts):
+        (folder / f"{i}.json").write_text(text)
+    good, bad = results.read_results(spark, str(tmp_path / "exp"))
+    assert [(r.id, r.response) for r in good.collect()] == [("2", "b")] and bad.count() == 4

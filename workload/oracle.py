@@ -210,8 +210,12 @@ from docs where {where}"""
 # ---- prompts
 
 
+def open_turn(role: str, content: str) -> str:
+    return f"'{START_HEADER}{role}{END_HEADER}' || {content}"
+
+
 def turn(role: str, content: str) -> str:
-    return f"'{START_HEADER}{role}{END_HEADER}' || {content} || '{END_OF_TURN}'"
+    return f"{open_turn(role, content)} || '{END_OF_TURN}'"
 
 
 def slot(expression: str) -> str:
@@ -246,12 +250,13 @@ union all select id, 1::int, 'user', {user} from training
 union all select id, 2::int, 'assistant', {assistant} from training"""
 
 
-def chat_text(source: str, instruction: str, text: str, answer: str, task: str) -> str:
-    prefix = f"case when contains(lower(coalesce({task}, '')), 'summ') then 'Summary: ' else 'Label: ' end"
+def chat_text(source: str, instruction: str, text: str, answer: str | None, task: str, mark: str = "summ") -> str:
+    prefix = f"case when contains(lower(coalesce({task}, '')), '{mark}') then 'Summary: ' else 'Label: ' end"
+    last = turn("assistant", f"{prefix} || {slot(answer)}") if answer else open_turn("assistant", prefix)
     user = f"{slot(instruction)} || {NEWLINE} || 'Input: ' || {slot(text)}"
     return (
         f"select id, '{BEGIN_OF_TEXT}' || {turn('system', f"'{SYSTEM}'")} || {turn('user', user)} || "
-        f"{turn('assistant', f'{prefix} || {slot(answer)}')} as \"Text\" from {source}"
+        f'{last} as "Text" from {source}'
     )
 
 
@@ -318,9 +323,9 @@ SQL: dict[str, str] = {
       join codes b on b.lang = r.lang and b.dataset = r.dataset and b.label = r.response""",
     "distinct_labels": f"with {ORDERS} select distinct lang, dataset, output as label from orders_raw",
     "document_quality_eval": f"""with {DOCS},
-      judged as (select id, lang, dataset, output,
-        lower(case when {key(5, 'id')} < {7 << 57} then upper(output) else 'bad' end) as response
-        from docs where output is not null),
+      judged as (select id, lang, dataset, coalesce(output, 'none') as output,
+        coalesce(lower(case when {key(5, 'id')} < {7 << 57} then upper(output) else 'bad' end), 'none') as response
+        from docs),
       {repaired('judged')}, {REPORT}, {averages()},
       multi as (with {FLAGS}, {MULTI} select a.*, s.subset_accuracy from averages a
         join samples s on s.lang = a.lang and s.dataset = a.dataset),
@@ -357,8 +362,8 @@ SQL: dict[str, str] = {
       select id, lang, dataset, input from ranked where rn <= 5""",
     "full_sample": f"with {DOCS} select id, lang, dataset, output, input from docs",
     "corpus_sample": f"""with {DOCS}, tasked as (
-      select id, lang, task as dataset, output,
-        case when not contains(task, 'ummariz') then output end as part from docs where task is not null), """
+      select id, lang, coalesce(task, 'untasked') as dataset, output,
+        case when not contains(coalesce(task, ''), 'ummariz') then output end as part from docs), """
     + sample("tasked", 20, "lang, dataset", "part", "r.id, r.lang, r.dataset, r.output"),
     "shuffle_none": order(f"{LANG_RANK}, lang, dataset, "),
     "shuffle_fully": order(""),
@@ -391,6 +396,7 @@ SQL: dict[str, str] = {
     "chat_english": chat("instruction", "output_en", "summ"),
     "chat_scoring": chat("instruction", None, "sum"),
     "chat_text": f"with {TRAINING} " + chat_text("training", "native_instruction", "input", "output", "task"),
+    "chat_text_open": f"with {DOCS} " + chat_text("docs", "instruction", "input", None, "task", "sum"),
     "chat_text_of_turns": f"with {REPLIES} " + chat_text("replies", "'Reply'", "output", "response", "'Dialogue'"),
     "label_translation": """select c_custkey::varchar as id, c_mktsegment as output,
       case when c_mktsegment = 'MACHINERY' then c_mktsegment else lower(c_mktsegment) end as output_en from customer""",

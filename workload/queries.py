@@ -100,7 +100,7 @@ def distinct_labels(spark, sf):
 @query
 def document_quality_eval(spark, sf):
     """Every dataset of two kinds at once: document quality per source and order flags."""
-    judged = data.documents(spark, sf).where("output is not null")
+    judged = data.documents(spark, sf)
     answer = F.when(hash_key(5, "id") < F.lit(7 << 57), F.upper("output")).otherwise("bad")
     single = judged.withColumn("response", answer).select("id", *BY, "output", "response")
     return rounded(evaluation.evaluate(single.unionByName(data.flags(spark, sf))))
@@ -190,8 +190,8 @@ def full_sample(spark, sf):
 @query
 def corpus_sample(spark, sf):
     """Summarization datasets uniformly, the others by label."""
-    rows = data.documents(spark, sf).where("task is not null")
-    rows = rows.withColumn("dataset", F.col("task"))
+    rows = data.documents(spark, sf)
+    rows = rows.withColumn("dataset", F.coalesce("task", F.lit("untasked")))
     return sampling.sample_corpus(rows, 20).select("id", "lang", "dataset", "output")
 
 
@@ -326,6 +326,12 @@ def chat_text(spark, sf):
     return corpus_plan.training_chats(_training(spark, sf)).select("id", "Text")
 
 
+@query
+def chat_text_open(spark, sf):
+    """Scoring chats, with the turn of the answer left open."""
+    return records.render_chat(records.to_messages(_to_score(spark, sf), "score"), open_turn=True).select("id", "Text")
+
+
 @query
 def chat_text_of_turns(spark, sf):
     """Each question of a conversation with the reply to it, as a chat."""
