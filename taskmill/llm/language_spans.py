@@ -25,7 +25,8 @@ CLIP = 3.0
 SWITCH = 15.0
 # A script belongs to a language if this share of its words is written in it.
 SCRIPT_SHARE = 0.01
-DOCS_AT_ONCE = 1000
+# The words of about so much text, and always whole texts, are scored together.
+CHARS_AT_ONCE = 512 * 1024
 
 # Where blocks of scripts begin and what they are (fixed values, from the Unicode charts).
 SCRIPT_STARTS = (
@@ -240,8 +241,10 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", switch:
         fitted = sent.value
         for texts in batches:
             rows = []
-            for i in range(0, len(texts), DOCS_AT_ONCE):
-                rows.extend(_judged(texts.iloc[i : i + DOCS_AT_ONCE].tolist(), fitted, switch))
+            turn = np.cumsum([len(t or "") for t in texts]) // CHARS_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1), len(texts)]
+            for a, b in zip(cuts, cuts[1:]):
+                rows.extend(_judged(texts.iloc[a:b].tolist(), fitted, switch))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
