@@ -56,6 +56,16 @@ def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of staged tables that nothing reads any more."""
+    for df in frames:
+        spark, root = df.sparkSession, shared_folder(df.sparkSession)
+        for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if root.rstrip("/").rsplit("/", 1)[-1] in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
