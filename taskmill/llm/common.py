@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Where the public vocabulary files lie; only the driver reads them.
+MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 # What the contracts call white space: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -33,6 +37,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names of internal columns that none of the frame's columns has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """The size of all texts: one narrow aggregation, for choosing numbers of partitions."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

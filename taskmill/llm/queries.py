@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskmill.llm import compression_quality, language_spans
-from taskmill.llm.common import table
+from taskmill.llm.centroids import cluster_vectors
+from taskmill.llm.common import MODEL, table
 from taskmill.llm.dart_minhash import near_duplicates
 from taskmill.llm.decontamination import contaminated, decontaminate
+from taskmill.llm.prefix_trie import prefix_nodes
 from taskmill.llm.quality_rules import apply_quality_rules
 from taskmill.llm.quotations import format_chats
 from taskmill.llm.repeats import remove_repeats
 from taskmill.llm.sentencepiece_lattice import encode, load_pieces
+from taskmill.llm.token_counts import count_tokens, load_pre_tokens
 from taskmill.llm.url_templates import filter_urls
 from taskmill.llm.warc import assemble, read_warc, with_referred, write_warc
 from taskmill.scale import scratch, stage
@@ -36,7 +38,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents"), load_pieces(corpus_pipeline.MODEL), keep=("doc_id",))
+    encoded = encode(table(spark, sf_dir, "documents"), load_pieces(MODEL), keep=("doc_id",))
     return encoded.select("doc_id", "n_ids", "ids", "round_trip")
 
 
@@ -100,12 +102,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), load_pre_tokens(MODEL), keep=("doc_id",))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minhash_dedup, op3_sentencepiece, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
-    op8_quality_classifier, op9_substring_dedup,
-    op10_chat_formatting, pipeline,
+    op8_quality_classifier, op9_substring_dedup, op10_chat_formatting, op11_centroid_clustering, op12_prefix_trie,
+    op13_token_counts,
 )}
