@@ -5,20 +5,17 @@ Every stage takes the documents its predecessor wrote and returns documents agai
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskmill.llm import language_spans
+from taskmill.llm.common import MODEL
 from taskmill.llm.dart_minhash import near_duplicates
 from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.repeats import remove_repeats
 from taskmill.llm.sentencepiece_lattice import encode, load_pieces
 from taskmill.scale import lookup, scratch, settle
 
-# Where the public vocabulary files lie; only the driver reads them.
-MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 # A text whose leading language has fewer words than this share, or loses to another overall, goes.
 LEAST_SCORE = 0.2
 
