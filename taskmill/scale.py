@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
+# The scratch paths made inside the ``cleared`` blocks that are open, one list for each.
+_open: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only in a local session without one."""
@@ -30,7 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was staged or settled inside; for jobs that have written their result by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -41,7 +65,12 @@ def settle(df: DataFrame) -> DataFrame:
     scan is still feeding it.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    settled = df.checkpoint(eager=True)
+    if _open:
+        file = settled._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _open[-1].append(file.get())
+    return settled
 
 
 def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFrame:
@@ -59,11 +88,10 @@ def stage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFr
 def discard(*frames: DataFrame) -> None:
     """Remove the files of staged tables that nothing reads any more."""
     for df in frames:
-        spark, root = df.sparkSession, shared_folder(df.sparkSession)
+        root = shared_folder(df.sparkSession).rstrip("/").rsplit("/", 1)[-1]
         for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            if root.rstrip("/").rsplit("/", 1)[-1] in folder:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            if root in folder:
+                remove(df.sparkSession, folder)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -56,14 +56,25 @@ def read_results(
     return good, bad
 
 
-def write_responses(df: DataFrame, path: str) -> None:
-    """Append results in folders by language and dataset; the committer adds a job's files as one.
+def batch_folder(results: str, batch: str) -> str:
+    return f"{results.rstrip('/')}/of_batch={batch}"
+
+
+def batches_of(spark: SparkSession, results: str) -> set[str]:
+    """The batches whose results were written to the end."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(batch_folder(results, "*") + "/_SUCCESS")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return {f.getPath().getParent().getName().removeprefix("of_batch=") for f in files or []}
+
+
+def write_responses(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write results in folders by language and dataset; the committer adds a job's files as one.
 
     Rows are rebalanced by dataset: one file for a small dataset, many for a large one. The folders are
     named by copies of the columns, because a folder name cannot tell an empty text from a null.
     """
     copies = df.withColumns({"of_lang": F.col("lang"), "of_dataset": F.col("dataset")})
-    copies.hint("rebalance", "lang", "dataset").write.mode("append").partitionBy("of_lang", "of_dataset").json(path)
+    copies.hint("rebalance", "lang", "dataset").write.mode(mode).partitionBy("of_lang", "of_dataset").json(path)
 
 
 def read_responses(spark: SparkSession, path: str, schema: T.StructType = RESULT) -> DataFrame:

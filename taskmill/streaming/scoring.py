@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,12 +25,13 @@ def score_arriving(
 ) -> StreamingQuery:
     """Score all files present in ``source`` and stop; a restart goes on after the last batch.
 
-    The checkpoint remembers finished files. A batch that is run again after a failure meets
-    its own results in the anti join of ``score``, so no row is answered twice.
+    The checkpoint remembers finished files. A batch is named by the checkpoint and its number: run again
+    after a failure it replaces what it wrote, and no row is answered twice.
     """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
-    def run(batch: DataFrame, _: int) -> None:
-        score(batch, predict, results, parallelism=parallelism)
+    def run(batch: DataFrame, number: int) -> None:
+        score(batch, predict, results, parallelism=parallelism, batch=f"{stream}-{number}")
 
     return (
         spark.readStream.schema(schema)

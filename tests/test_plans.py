@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from taskmill.operators import ordering, packing, records, rouge, sampling
 from taskmill.plans import scoring
+from taskmill.sources import ledger
 from workload import queries as q
 from workload import records as data
 
@@ -31,16 +32,16 @@ def test_a_shuffle_moves_the_rows_once(spark):
         assert exchanges(ordering.shuffle(rows, mode)) == ["shufflepartitionidpassthrough"]
 
 
-def test_scoring_shares_one_partitioning_and_trims_hot_keys_first(spark):
+def test_scoring_moves_only_the_rows_and_trims_hot_keys_first(spark, tmp_path):
     rows = data.documents(spark, SF).checkpoint().withColumn("position", F.monotonically_increasing_id())
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        todo = scoring.unscored(rows, rows)
-        assert exchanges(todo) == ["hashpartitioning", "hashpartitioning"]
-        assert re.search(r"WindowGroupLimit .* Partial", plan(todo))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    book = ledger.Ledger(spark, str(tmp_path))
+    book.enter(rows.where("output is null").select(ledger.record_key(rows.drop("position").columns).alias("record")), "one")
+    todo = scoring.unscored(rows, book)
+    assert exchanges(todo) == ["hashpartitioning"]
+    assert re.search(r"WindowGroupLimit .* Partial", plan(todo))
+    (scan,) = re.findall(r"FileScan parquet [^\n]*", plan(todo))
+    assert "ReadSchema: struct<record:string>" in scan and "Bucketed: true" in scan
+    assert todo.count() == rows.where("output is not null").count()
 
 
 def test_packing_moves_the_rows_once(spark):

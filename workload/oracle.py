@@ -421,6 +421,7 @@ SQL: dict[str, str] = {
     "first_of_duplicates": """select 'en' as lang, o_orderstatus as dataset, o_custkey::varchar as id,
       min(o_orderkey) as o_orderkey from orders group by all""",
     "batch_scoring": f"with {DOCS} select id, lang, dataset, {STUB} as response from docs",
+    "stream_scoring_batches": f"with {DOCS} select id, lang, dataset, {STUB} as response from docs",
     "stream_scoring": f"with {DOCS} select id, lang, dataset, {STUB} as response from docs",
     "batch_map": "select doc_id, length(text)::varchar || ' chars' as size from documents",
     "rouge1": f"with {NEIGHBOURS}, {rouge(1)} select id, rouge1 from rouge1_rows",

@@ -486,6 +486,22 @@ def stream_scoring(spark, sf):
     return results.read_responses(spark, path).select("id", *BY, "response")
 
 
+@query
+def stream_scoring_batches(spark, sf):
+    """Record files in several micro-batches, after a batch that is run twice and one that was cut short."""
+    source, path = scale.scratch(spark, "arriving"), scale.scratch(spark, "scored")
+    rows = _to_score(spark, sf)
+    rows.repartition(4, "id").write.json(source)
+    for _ in range(2):
+        scoring.score(rows.where("lang = 'en'"), count_characters, path, batch="again")
+    rest = scoring.with_responses(rows.where("lang = 'de'"), count_characters)
+    results.write_responses(rest, results.batch_folder(path, "cut-short"))
+    scoring.score(rows.where("lang = 'fr'"), count_characters, path)
+    progress = scale.scratch(spark, "progress")
+    score_arriving(spark, source, path, count_characters, progress, files_per_batch=1).awaitTermination()
+    return results.read_responses(spark, path).select("id", *BY, "response")
+
+
 @query
 def batch_map(spark, sf):
     def lengths(batches: Iterator[pd.DataFrame], unit: str) -> Iterator[pd.DataFrame]:
