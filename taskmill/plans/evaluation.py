@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskmill.functions.text import label_set
 from taskmill.operators import metrics, rouge
-from taskmill.operators.labels import repair_answers
+from taskmill.operators.labels import label_codes, repair_answers
 from taskmill.operators.records import clean_answers, split_labels
-from taskmill.scale import settle, stage
+from taskmill.scale import cleared, lookup, settle, stage
 from taskmill.schema import DATASET_KEY
 from taskmill.sources.results import read_results, write_metrics
 
@@ -21,32 +22,116 @@ MULTI = ("f1_micro", "f1_macro", "f1_weighted", "accuracy")
 # Names of the summary rows of a report; a class of the same name gives way to them.
 SINGLE_SUMMARY = ("accuracy", "macro avg", "weighted avg")
 MULTI_SUMMARY = ("micro avg", "macro avg", "weighted avg", "samples avg", *MULTI)
+# What is summed per group, kind, label and answer; all metrics follow from these sums.
+SUMS = ("n", "predicted", "tp", "exact", "row_precision", "row_recall", "row_f1", *rouge.KEYS)
+COUNTS = ("n", "predicted", "tp", "exact")
 
 
-def of_kind(df: DataFrame, kind: str) -> DataFrame:
-    return df.where(metrics.metric_kind() == kind)
+def multi_counts(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Class and row sums of multi-label datasets."""
+    rows = cleaned.where(metrics.metric_kind() == "multi_label").select(*by, "output", "response")
+    return metrics.multi_label_counts(metrics.binarize(split_labels(rows), by), by)
 
 
-def single_counts(cleaned: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
-    """Confusion counts of the single-label datasets, with repaired answers."""
-    rows = of_kind(cleaned, "single_label").select(*dict.fromkeys([*by, "id", "output", "response"]))
-    return metrics.confusion_counts(repair_answers(rows, seed, by), by)
+def routed(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:
+    """The one pass over the answers: each row with what the metrics of its dataset need, staged.
 
+    Single-label rows keep their cleaned labels and id, multi-label rows their label sets, summaries the
+    ROUGE scores of the row. Texts go no further, so whatever comes after reads thin rows.
+    """
+    kind = metrics.metric_kind()
 
-def multi_counts(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Class and row sums of the multi-label datasets."""
-    rows = of_kind(cleaned, "multi_label").select(*by, "output", "response")
-    return metrics.multi_label_counts(metrics.binarize(split_labels(rows), by), by)
+    def of(name: str, value: Column) -> Column:
+        return F.when(kind == name, value)
+
+    cleaned = clean_answers(df)
+    answers = {"output": F.col("output"), "response": F.col("response")}
+    rows = cleaned.select(
+        *by, kind.alias("kind"), F.monotonically_increasing_id().alias("row"),
+        of("single_label", F.col("id").cast("string")).alias("id"),
+        *[of("single_label", c).alias(f"__label_{n}") for n, c in answers.items()],
+        *[of("multi_label", label_set(c)).alias(f"__set_{n}") for n, c in answers.items()],
+        *[of("rouge", c).alias(n) for n, c in answers.items()],
+    )
+    thin = rouge.rouge_scores(rows).drop("output", "response")
+    return stage(thin.withColumnsRenamed({
+        "__label_output": "output", "__label_response": "response", "__set_output": "truths", "__set_response": "guesses",
+    }), "routed")
+
+
+def facts(thin: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
+    """Sums per group, kind, label and answer of all kinds, in one aggregation of the thin rows.
+
+    A single-label row counts at its true label and its answer, repaired if it is none of the labels. A
+    multi-label row counts at each of its true labels, and at each further label it names that some row
+    of its dataset truly has; under a null label it adds its own scores. So does a summary.
+    """
+    by = list(by)
+    kind = F.col("kind")
+    labelled = thin.where(kind != "rouge").select(*by, F.explode(F.coalesce("truths", F.array("output"))).alias("output"))
+    codes = settle(label_codes(labelled, by))
+
+    # Further labels of a row, if their dataset knows them: most rows have none, and do not move.
+    others = thin.where(kind == "multi_label").select(*by, "row", F.explode(F.array_except("guesses", "truths")).alias("label"))
+    others = settle(lookup(others, codes.select(*by, "label"), [*by, "label"], "left_semi", null_safe=True))
+    more = settle(others.groupBy("row").agg(F.count(F.lit(1)).alias("more")))
+    rows = lookup(repair_answers(thin, seed, by, labels=codes), more, ["row"]).withColumn("more", F.coalesce("more", F.lit(0)))
+    hits = F.size(F.array_intersect("truths", "guesses"))
+    true, named = F.size("truths"), hits + F.col("more")
+
+    def entry(label=None, answer=None, **sums: Column) -> Column:
+        none = F.lit(None).cast("string")
+        zero = {n: F.lit(0).cast("bigint") if n in COUNTS else F.lit(0.0) for n in SUMS}
+        values = {**zero, **{n: v.cast("bigint") if n in COUNTS else v for n, v in sums.items()}}
+        return F.struct(
+            (none if label is None else label).alias("label"), (none if answer is None else answer).alias("answer"),
+            *[values[n].alias(n) for n in SUMS],
+        )
+
+    one = F.lit(1)
+    per_class = F.transform("truths", lambda x: entry(
+        x, n=one, predicted=F.array_contains("guesses", x), tp=F.array_contains("guesses", x),
+    ))
+    per_row = F.array(entry(
+        n=one, exact=(hits == true) & (hits == named), row_precision=metrics.ratio(hits, named),
+        row_recall=metrics.ratio(hits, true), row_f1=metrics.ratio(2 * hits, true + named),
+    ))
+    entries = (
+        F.when(kind == "single_label", F.array(entry(F.col("output"), F.col("response"), n=one)))
+        .when(kind == "multi_label", F.concat(per_class, per_row))
+        .otherwise(F.array(entry(n=one, **{k: F.col(k) for k in rouge.KEYS})))
+    )
+    strangers = others.select(*by, F.lit("multi_label").alias("kind"), F.inline(F.array(entry(F.col("label"), predicted=one))))
+    everything = rows.select(*by, "kind", F.inline(entries)).unionByName(strangers)
+    return settle(everything.groupBy(*by, "kind", "label", "answer").agg(*[F.sum(n).alias(n) for n in SUMS]))
+
+
+def _single(found: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion counts."""
+    return found.where("kind = 'single_label'").select(*by, "label", F.col("answer").alias("predicted"), "n")
+
+
+def _multi(found: DataFrame, by: list[str]) -> DataFrame:
+    """Class sums and, under a null label, row sums."""
+    of_class = F.col("label").isNotNull()
+    return found.where("kind = 'multi_label'").select(
+        *by, "label", F.when(of_class, F.col("n")).otherwise(0).alias("support"), "predicted", "tp",
+        F.when(of_class, 0).otherwise(F.col("n")).alias("rows"), "exact", "row_precision", "row_recall", "row_f1",
+    )
+
+
+def _summaries(found: DataFrame, by: list[str]) -> DataFrame:
+    return found.where("kind = 'rouge'").select(*by, *[(F.col(k) / F.col("n")).alias(k) for k in rouge.KEYS])
 
 
 def evaluate(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
-    """All metrics of all datasets in long form: the group, ``metric`` and ``value``."""
+    """All metrics of all datasets in long form: the group, ``metric`` and ``value``. The input is read once."""
     by = list(by)
-    cleaned = clean_answers(df)
+    found = facts(routed(df, by), by, seed)
     frames = [
-        _long(metrics.single_label_metrics(single_counts(cleaned, by, seed), by), by, SINGLE),
-        _long(metrics.multi_label_metrics(multi_counts(cleaned, by), by), by, MULTI),
-        _long(rouge.rouge_metrics(of_kind(cleaned, "rouge"), by), by, rouge.KEYS),
+        _long(metrics.single_label_metrics(_single(found, by), by), by, SINGLE),
+        _long(metrics.multi_label_metrics(_multi(found, by), by), by, MULTI),
+        _long(_summaries(found, by), by, rouge.KEYS),
     ]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
@@ -56,62 +141,50 @@ def _long(wide: DataFrame, by: list[str], names: Sequence[str]) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*pairs)))
 
 
-def _report_json(report: DataFrame, by: list[str], summary: Sequence[str]) -> DataFrame:
-    """Report rows as one JSON object per group, a key per class or summary row."""
+def _member(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
+
+
+def _numbers(names: Sequence[str]) -> Column:
+    """Some columns as members of a document."""
+    return F.array(*[_member(F.lit(n), F.col(n).cast("variant")) for n in names])
+
+
+def _report(report: DataFrame, by: list[str], summary: Sequence[str]) -> DataFrame:
+    """Report rows as members of a document, ``report``: classes first, then the summary rows."""
     report = report.where((F.col("kind") != "class") | ~F.coalesce(F.col("label").isin(*summary), F.lit(False)))
     row = F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")
     ordered = F.sort_array(F.collect_list(F.struct("kind", "label", row.alias("row"))))
-    keyed = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["label"], r["row"])))
-    return report.groupBy(*by).agg(ordered.alias("rows")).select(*by, F.to_json(keyed).alias("report"))
-
-
-def _inside(document: Column) -> Column:
-    """The members of a JSON object without its braces."""
-    return F.substring(document, F.lit(2), F.length(document) - 2)
+    members = F.transform("rows", lambda r: _member(r["label"], F.to_variant_object(r["row"])))
+    return report.groupBy(*by).agg(ordered.alias("rows")).select(*by, members.alias("report"))
 
 
 def metrics_documents(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
-    """One JSON metrics document per dataset, as columns of the group and ``document``."""
-    by = list(by)
-    cleaned = clean_answers(df)
-
-    counts = settle(single_counts(cleaned, by, seed))
-    classes = settle(metrics.class_report(metrics.class_counts(counts, by)))
-    wide = metrics.single_label_metrics(counts, by)
-    matrix = metrics.confusion_matrix(counts, by, nested=True)
-    report = metrics.full_report(classes, by).where("label <> 'accuracy'")
-    accuracy = F.concat(F.lit(',"accuracy":'), F.col("accuracy").cast("string"))
-    single = (
-        wide.join(matrix.select(*by, "confusion_matrix"), by)
-        .join(_report_json(report, by, SINGLE_SUMMARY), by)
-        .select(
-            *by,
-            F.concat(
-                F.lit("{"),
-                _inside(F.to_json(F.struct(*SINGLE, "confusion_matrix"))),
-                F.lit(',"classification_report":{'),
-                _inside(F.col("report")),
-                accuracy,
-                F.lit("}}"),
-            ).alias("document"),
-        )
-    )
+    """One metrics document per dataset: columns of the group and ``document``, a map of variants.
 
-    many = settle(multi_counts(cleaned, by))
-    multi = (
-        metrics.multi_label_metrics(many, by)
-        .join(_report_json(metrics.multi_label_report(many, by), by, MULTI_SUMMARY), by)
-        .select(
-            *by,
-            F.concat(
-                F.lit("{"), _inside(F.col("report")), F.lit(","),
-                _inside(F.to_json(F.struct(*MULTI))), F.lit("}"),
-            ).alias("document"),
-        )
-    )
-    summaries = rouge.rouge_metrics(of_kind(cleaned, "rouge"), by).select(
-        *by, F.to_json(F.struct(*rouge.KEYS)).alias("document")
+    Single-label documents hold the averages, ``confusion_matrix`` (rows are true labels, sorted) and
+    ``classification_report``; multi-label documents the report rows and the averages beside each other;
+    summaries the ROUGE scores.
+    """
+    by = list(by)
+    found = facts(routed(df, by), by, seed)
+
+    counts = _single(found, by)
+    report = metrics.full_report(metrics.class_report(metrics.class_counts(counts, by)), by).where("label <> 'accuracy'")
+    matrix = metrics.confusion_matrix(counts, by, nested=True).select(*by, "confusion_matrix")
+    wide = metrics.single_label_metrics(counts, by).join(matrix, by).join(_report(report, by, SINGLE_SUMMARY), by)
+    nested = F.map_from_entries(F.concat("report", F.array(_member(F.lit("accuracy"), F.col("accuracy").cast("variant")))))
+    single = wide.select(*by, F.map_from_entries(F.concat(_numbers(SINGLE), F.array(
+        _member(F.lit("confusion_matrix"), F.to_variant_object("confusion_matrix")),
+        _member(F.lit("classification_report"), F.to_variant_object(nested)),
+    ))).alias("document"))
+
+    many = _multi(found, by)
+    rows = _report(metrics.multi_label_report(many, by), by, MULTI_SUMMARY)
+    multi = metrics.multi_label_metrics(many, by).join(rows, by).select(
+        *by, F.map_from_entries(F.concat("report", _numbers(MULTI))).alias("document")
     )
+    summaries = _summaries(found, by).select(*by, F.map_from_entries(_numbers(rouge.KEYS)).alias("document"))
     return single.unionByName(multi).unionByName(summaries)
 
 
@@ -120,11 +193,10 @@ def evaluate_experiment(
 ) -> DataFrame:
     """Read an experiment, write a metrics document per dataset; returns the quarantined records.
 
-    The JSON is parsed once. Its parquet copy has a folder per dataset, so each kind of metric
-    reads its own datasets and the columns it needs.
+    The JSON is parsed once, for one pass that leaves thin rows; all metrics come from these.
     """
     good, bad = read_results(spark, experiment_dir, layout)
-    staged = stage(good, "results", ["dataset"])
-    documents = metrics_documents(staged, ["experiment", "lang", "dataset"], seed)
-    write_metrics(documents, output_dir)
+    with cleared(spark):
+        documents = metrics_documents(good, ["experiment", "lang", "dataset"], seed)
+        write_metrics(documents, output_dir)
     return bad

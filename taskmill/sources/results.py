@@ -88,7 +88,13 @@ def read_responses(spark: SparkSession, path: str, schema: T.StructType = RESULT
 
 
 def write_metrics(documents: DataFrame, path: str) -> None:
-    """One metrics document per dataset (columns ``experiment`` and ``document``)."""
-    documents.select("experiment", F.col("document").alias("value")).write.mode(
+    """One JSON metrics document per dataset (columns ``experiment`` and ``document``, a map of variants)."""
+    documents.select("experiment", F.to_json("document").alias("value")).write.mode(
         "overwrite"
     ).partitionBy("experiment").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The stored metrics documents: ``experiment`` and ``document``, a variant."""
+    stored = spark.read.schema("value string, experiment string").text(path)
+    return stored.select("experiment", F.parse_json("value").alias("document"))

@@ -219,7 +219,10 @@ def test_evaluate_covers_every_dataset_and_documents_agree(spark):
     assert len({d for d, _ in long}) == 4 and len(long) == 10 + 10 + 4 + 4
     assert long["xlsum", "rouge1"] == pytest.approx(40.0) and long["xlsum", "rougeL"] == pytest.approx(40.0)
     assert long["d1", "f1_micro"] == pytest.approx(long["d1", "accuracy"])
-    documents = {r.dataset: json.loads(r.document) for r in evaluation.metrics_documents(both).collect()}
+    documents = {
+        r.dataset: json.loads(r.text)
+        for r in evaluation.metrics_documents(both).select("dataset", F.to_json("document").alias("text")).collect()
+    }
     assert set(documents) == {"d1", "d2", "Hostility 2", "xlsum"}
     for (dataset, metric), value in long.items():
         assert documents[dataset][metric] == pytest.approx(value), (dataset, metric)
@@ -228,3 +231,39 @@ def test_evaluate_covers_every_dataset_and_documents_agree(spark):
     assert d1["classification_report"]["a"].keys() == {"precision", "recall", "f1-score", "support"}
     assert sum(map(sum, d1["confusion_matrix"])) == sum(r[2] == "d1" for r in single)
     assert {"a", "b", "micro avg", "macro avg", "weighted avg", "samples avg"} < set(documents["Hostility 2"])
+
+
+def test_an_evaluation_reads_its_input_once(spark):
+    """Rows are counted as they leave the input; whatever comes after reads thin rows."""
+    rows = [(str(i), "en", "plain", "a" if i % 2 else "b", "a" if i % 3 else "junk") for i in range(40)]
+    rows += [(str(i), "en", "Hostility", "a,b" if i % 2 else "a", "a, x" if i % 3 else "b,zz") for i in range(40)]
+    rows += [(str(i), "en", "xlsum", "one two", "two one") for i in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    df = spark.createDataFrame(rows, "id string, lang string, dataset string, output string, response string")
+    got = evaluation.evaluate(df.withColumn("response", counted.asNondeterministic()("response"))).collect()
+    assert seen.value == 100
+    values = {(r.dataset, r.metric): r.value for r in got}
+    counts = metrics.confusion_counts(labels.repair_answers(records.clean_answers(df.where("dataset = 'plain'"))))
+    assert values["plain", "accuracy"] == metrics.single_label_metrics(counts).first().accuracy
+    many = evaluation.multi_counts(records.clean_answers(df.where("dataset = 'Hostility'")), ["lang", "dataset"])
+    wide = metrics.multi_label_metrics(many).first()
+    for name in evaluation.MULTI:
+        assert values["Hostility", name] == pytest.approx(wide[name])
+    assert values["xlsum", "rouge1"] == 100.0
+
+
+def test_facts_of_groups_that_are_null_and_of_nothing(spark):
+    ddl = "id string, lang string, dataset string, output string, response string"
+    rows = [("1", None, "Hostility", "a,b", "a,c"), ("2", None, "Hostility", "c", None), (None, "en", "plain", None, "x")]
+    got = evaluation.evaluate(spark.createDataFrame(rows, ddl)).collect()
+    assert {(r.lang, r.dataset) for r in got} == {(None, "Hostility"), ("en", "plain")}
+    values = {(r.dataset, r.metric): r.value for r in got}
+    # True a, b against a, c; true c against the answer "none", which no row has.
+    assert values["Hostility", "f1_micro"] == pytest.approx(2 * 1 / (3 + 2))
+    assert evaluation.evaluate(spark.createDataFrame([], ddl)).collect() == []

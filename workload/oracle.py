@@ -96,6 +96,7 @@ REPORT = f"""report as (
     from codes k) c)"""
 
 MEASURES = ["precision", "recall", "f1"]
+ROUGE_KEYS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 AVERAGED = [f"{m}_{a}" for a in ("macro", "micro", "weighted") for m in MEASURES]
 
 
@@ -119,6 +120,12 @@ def long(source: str, names: list[str], group: str = "lang, dataset") -> str:
     )
 
 
+def long_quoted(source: str, names: list[str], group: str = "lang, dataset") -> str:
+    return " union all ".join(
+        f"""select {group}, '{n}' as metric, round("{n}", 6) as value from {source}""" for n in names
+    )
+
+
 # ---- multi-label evaluation
 
 SETS = f"""sets as (
@@ -197,9 +204,26 @@ select {columns} from ranked r join takes t
 where rn <= take"""
 
 
+FOLDER_RANK = "case folder_lang when 'l=en' then 0 when 'l=fr' then 1 when 'l=de' then 2 when 'l=es' then 3 else 4 end"
+# The columns of a record as the corpus build orders them.
+BUILT = ["id", "original_id", "input", "output", "task", "instruction", "native_instruction", "output_en", "folder_lang", "folder", "lang", "dataset"]
 LANG_RANK = "case lang when 'en' then 0 when 'fr' then 1 when 'de' then 2 when 'es' then 3 else 4 end"
 
 
+def digest(columns: list[str]) -> str:
+    """The key of a whole record: lengths and texts of its columns, a dash for null."""
+    return "md5(" + " || ".join(f"coalesce(length({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in columns) + ")"
+
+
+def numbered(source: str, columns: list[str]) -> str:
+    """Rows with the digest of their columns and the number of their copy."""
+    return f"""digests as (select *, {digest(columns)} as digest from {source}),
+numbered as (select *, row_number() over (partition by digest) - 1 as copy from digests)"""
+
+
+WHOLE_KEY = f"""{key(42, "digest || ':' || copy::varchar")}, digest, copy"""
+
+
 def order(by: str, where: str = "true") -> str:
     return f"""with {DOCS}
 select id, lang, dataset, task, input,
@@ -285,6 +309,78 @@ rouge{n}_rows as (
   from pairs p left join size{n} s on s.id = p.id left join hits{n} h on h.id = p.id)"""
 
 
+def subsequences(source: str) -> str:
+    """ROUGE-L and ROUGE-Lsum of the pairs (id, output, response) in ``source``.
+
+    The table of a pair is kept as thresholds: t[k] is the first place of the candidate up to which k tokens
+    are in common, one list for each token of the reference. The way back through a table prefers to leave
+    out a token of the reference. A token counts as often as it is hit, but no more than the candidate has it.
+    """
+    split = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
+    whole = {side: split.format(f"lower({side})") for side in ("output", "response")}
+    line = split.format("x")
+    end = 2147483647
+    step = f"""list_filter(list_transform(range(1, len(t) + 2), lambda k: least(coalesce(t[k], {end}),
+      coalesce(list_min(list_filter(p, lambda j: j > case when k = 1 then 0 else t[k - 1] end)), {end}))), lambda x: x < {end})"""
+
+    def table(name: str, sides: str) -> str:
+        return f"""{name}(n, i, t, ts, a, b) as (
+  select n, 1, []::bigint[], [[]::bigint[]], a, b from {sides}
+  union all
+  select n, i + 1, t, list_append(ts, t), a, b from (
+    select n, i, {step} as t, ts, a, b from (
+      select n, i, t, ts, a, b, list_filter(range(1, len(b) + 1), lambda j: b[j] = a[i]) as p from {name} where i <= len(a)
+    )
+  )
+)"""
+
+    at = "len(list_filter(ts[{} + 1], lambda x: x <= {}))".format
+    return f"""whole as (select id as n, {whole['output']} as a, {whole['response']} as b from {source}),
+{table('of_whole', 'whole')},
+sentences as (
+  select id, row_number() over () as n, i, a, b from (
+    select id, i, a, unnest(bs) as b from (
+      select id, unnest(range(1, len(output) + 1)) as i, unnest(output) as a, response as bs from (
+        select id, list_transform(string_split(lower(output), {NEWLINE}), lambda x: {line}) as output,
+          list_transform(string_split(lower(response), {NEWLINE}), lambda x: {line}) as response from {source}
+      )
+    )
+  ) where len(a) > 0 and len(b) > 0
+),
+{table('of_sentences', 'sentences')},
+back(n, i, j, hit, ts, a, b) as (
+  select n, len(a)::bigint, len(b)::bigint, null::bigint, ts, a, b from of_sentences where i = len(a) + 1
+  union all
+  select n, case when a[i] = b[j] or not aside then i - 1 else i end, case when a[i] = b[j] or aside then j - 1 else j end,
+    case when a[i] = b[j] then i end, ts, a, b
+  from (select *, a[i] <> b[j] and {at('i', 'j - 1')} > {at('i - 1', 'j')} as aside from back where i > 0 and j > 0)
+),
+hits as (
+  select id, token, count(*) as n from (
+    select distinct s.id, s.i as sentence, x.hit, s.a[x.hit] as token from back x join sentences s on s.n = x.n where x.hit is not null
+  ) group by all
+),
+named as (select n as id, token, count(*) as n from (select n, unnest(b) as token from whole) group by all),
+sums as (select h.id, sum(least(h.n, c.n)) as n from hits h join named c on c.id = h.id and c.token = h.token group by h.id),
+longest as (select n as id, len(t) as n from of_whole where i = len(a) + 1),
+sequences as (
+  select p.id, p.lang, p.dataset,
+    {subsequence_score('coalesce(l.n, 0)')} as "rougeL", {subsequence_score('coalesce(s.n, 0)')} as "rougeLsum"
+  from {source} p join whole w on w.n = p.id left join longest l on l.id = p.id left join sums s on s.id = p.id)"""
+
+
+def subsequence_score(hits: str) -> str:
+    total = "(len(w.a) + len(w.b))"
+    return f"case when {total} > 0 then round_even(2.0::double * {hits}::double / {total}::double * 10000.0::double, 0) / 100 else 0.0 end"
+
+
+TURNS = f"{REPLIES}, pairs as (select * from replies)"
+ROUGE_ALL = f"""{TURNS}, {rouge(1)}, {rouge(2)}, {subsequences('pairs')},
+rouge_means as (
+  select a.lang, a.dataset, avg(a.rouge1) as rouge1, avg(b.rouge2) as rouge2, avg(c."rougeL") as "rougeL", avg(c."rougeLsum") as "rougeLsum"
+  from rouge1_rows a join rouge2_rows b on b.id = a.id join sequences c on c.id = a.id group by all)"""
+
+
 STUB = f"""length({slot('instruction')} || {NEWLINE} || 'Input: ' || {slot('input')})::varchar || ' ' ||
   case when contains(lower(coalesce(task, '')), 'sum') then 'Summary: ' else 'Label: ' end"""
 
@@ -340,6 +436,38 @@ SQL: dict[str, str] = {
       both_kinds as (select dataset as experiment, accuracy, f1_micro, f1_macro, f1_weighted from averages
         union all select dataset, subset_accuracy, f1_micro, f1_macro, f1_weighted from multi)
       select experiment, {round_all(['accuracy', 'f1_micro', 'f1_macro', 'f1_weighted'])} from both_kinds""",
+    "metrics_sink_documents": f"""with recursive
+      ones as ({SINGLE} select * from averages),
+      single_report as ({SINGLE} {CLASS_ROWS} union all """
+    + summary_rows({"macro avg": "macro", "weighted avg": "weighted"}, "averages a")
+    + f"""),
+      matrix as ({SINGLE}
+        select a.dataset, a.code as i, b.code as j, count(r.id) as n
+        from codes a join codes b on a.lang = b.lang and a.dataset = b.dataset
+        left join repaired r on r.lang = a.lang and r.dataset = a.dataset and r.output = a.label and r.response = b.label
+        group by all),
+      multi as (with {FLAGS}, {MULTI} select a.* exclude (accuracy), s.subset_accuracy as accuracy from averages a
+        join samples s on s.lang = a.lang and s.dataset = a.dataset),
+      multi_report as (with {FLAGS}, {MULTI} {CLASS_ROWS} union all """
+    + summary_rows(
+        {"micro avg": "micro", "macro avg": "macro", "weighted avg": "weighted", "samples avg": "samples"},
+        "averages a join samples s on s.lang = a.lang and s.dataset = a.dataset",
+    )
+    + f"""),
+      reports as (select * from single_report union all select * from multi_report),
+      {ROUGE_ALL},
+      numbers as ("""
+    + long("ones", ["accuracy", *AVERAGED], "dataset")
+    + " union all " + long("ones", ["accuracy"], "dataset")
+    + " union all " + long("multi", ["f1_micro", "f1_macro", "f1_weighted", "accuracy"], "dataset")
+    + " union all " + long_quoted("rouge_means", ROUGE_KEYS, "dataset")
+    + """)
+      select dataset as experiment, metric as label, '' as field, value as number from numbers
+      union all select dataset, label, 'precision', "precision" from reports
+      union all select dataset, label, 'recall', recall from reports
+      union all select dataset, label, 'f1-score', f1 from reports
+      union all select dataset, label, 'support', support::double from reports
+      union all select dataset, 'row ' || i::varchar, j::varchar, n::double from matrix""",
     "label_sets": f"""with {FLAGS}, {SETS} select id, array_to_string(list_sort(truth), '|') as output,
       array_to_string(list_sort(answer), '|') as response from sets""",
     "multi_label_binarization": f"""with {FLAGS}, {SETS} select id, array_to_string(list_sort(truth), '|') as output,
@@ -369,6 +497,11 @@ SQL: dict[str, str] = {
     "shuffle_fully": order(""),
     "shuffle_by_language": order(f"{LANG_RANK}, lang, "),
     "shuffle_by_task": order("task, ", "task is not null"),
+    "shuffle_fully_repeated_ids": f"""with {DOCS}, several as (
+        select case when original_id % 7 > 0 then (original_id % 10)::varchar end as id, lang, dataset, input,
+          unnest(range(case when lang = 'de' then 3 else 1 end)) as n from docs),
+      {numbered('several', ['id', 'lang', 'dataset', 'input'])}
+      select id, lang, dataset, input, row_number() over (order by {WHOLE_KEY}) - 1 as position from numbered""",
     "seeded_permutation": f"""with {DOCS} select id, lang, dataset, input,
       row_number() over (partition by lang, dataset order by {key(42, 'id')}, id) - 1 as position from docs""",
     "union_missing_columns": """select doc_id::varchar as id, text as input, lang, source as dataset from documents
@@ -429,6 +562,22 @@ SQL: dict[str, str] = {
     "rouge_mean": f"""with {NEIGHBOURS}, {rouge(1)}, {rouge(2)}
       select a.lang, a.dataset, round(avg(a.rouge1), 6) as rouge1, round(avg(b.rouge2), 6) as rouge2
       from rouge1_rows a join rouge2_rows b on b.id = a.id group by all""",
+    "rouge_l": f"""with recursive {NEIGHBOURS}, {subsequences('pairs')} select id, "rougeL" from sequences""",
+    "rouge_lsum": f"""with recursive {NEIGHBOURS}, {subsequences('pairs')} select id, "rougeLsum" from sequences""",
+    "rouge_all": f"""with recursive {ROUGE_ALL}
+      select lang, dataset, {', '.join(f'round("{k}", 6) as "{k}"' for k in ROUGE_KEYS)} from rouge_means""",
+    "experiment_evaluation": f"""with recursive
+      ones as ({SINGLE} select * from averages),
+      multi as (with {FLAGS}, {MULTI} select a.*, s.subset_accuracy from averages a
+        join samples s on s.lang = a.lang and s.dataset = a.dataset),
+      multi_named as (select lang, dataset, f1_micro, f1_macro, f1_weighted, subset_accuracy as accuracy from multi),
+      {ROUGE_ALL}
+      """
+    + long("ones", ["accuracy", *AVERAGED])
+    + " union all "
+    + long("multi_named", ["f1_micro", "f1_macro", "f1_weighted", "accuracy"])
+    + " union all "
+    + long_quoted("rouge_means", ROUGE_KEYS),
     "pack_blocks": "with rows_in as (select lang, doc_id as position, n_chars from documents), "
     + packed("rows_in", "position", "lang"),
     "pack_shuffled": f"""with {DOCS}, rows_in as (select id, length(input)::int as n_chars,
@@ -445,6 +594,29 @@ SQL: dict[str, str] = {
       from docs where output is not null""",
     "record_source": f"""with {DOCS} select id, original_id::varchar as original_id, input, output, dataset, task, lang,
       instruction from docs""",
+    "corpus_source_array": f"""with {DOCS} select id, input, instruction, 'd=' || dataset as folder, 'l=' || lang as folder_lang
+      from docs where output is null""",
+    "record_source_array": f"""with {DOCS} select id, original_id::varchar as original_id, input, output, dataset, task, lang,
+      instruction from docs""",
+    "first_of_files": f"""with {DOCS}, files as (
+        select *, 'b-large' as file from docs
+        union all select *, 'c-middle' from docs where original_id % 3 > 0
+        union all select *, 'a-small' from docs where original_id % 10 = 0)
+      select (original_id % 500)::varchar || '-' || lang as id, lang, dataset, min(file) as file from files group by all""",
+    "corpus_build": f"""with {DOCS}, tagged as (
+        select id, original_id::varchar as original_id, input, output, '' as dataset, task, 'en' as lang, instruction,
+          null::varchar as native_instruction, null::varchar as output_en, 'l=' || lang as folder_lang, 'd=' || dataset as folder
+        from docs),
+      sampled as (select * from (with parted as (
+        select *, case when not contains(coalesce(task, ''), 'ummariz') then output end as part from tagged), """
+    + sample("parted", 10, "folder_lang, folder", "part", "r.* exclude (stratum, rn, part)")
+    + f""")),
+      {numbered('sampled', BUILT)}
+      select id, folder_lang, folder, lang, dataset, row_number() over (order by {FOLDER_RANK}, folder_lang, {WHOLE_KEY}) - 1 as position,
+        case when contains(coalesce(task, ''), 'Summarization') then {prompt(summarizing('English'))} else {prompt(LABELLING)} end as text
+      from numbered""",
+    "result_source_objects": f"""with {DOCS} select id, upper(output) as response,
+      case when output is null then 'corrupt' else 'good' end as state from docs where original_id % 10 = 0""",
     "response_sink": f"""with {DOCS} select id, original_id::varchar as original_id, input, output, dataset, task, lang,
       instruction, 'Ünï ' || id as response from docs""",
     "result_source": f"""with {DOCS} select 'folder=' || dataset as experiment, count(*) as n, count(output) as answered,

@@ -130,6 +130,29 @@ def metrics_sink(spark, sf):
     )
 
 
+@query
+def metrics_sink_documents(spark, sf):
+    """The whole documents of three kinds of datasets, stored and taken apart: averages, reports, matrices."""
+    frames = [data.orders(spark, sf), data.flags(spark, sf), data.replies(spark, sf)]
+    documents = evaluation.metrics_documents(records.union(frames)).withColumn("experiment", F.col("dataset"))
+    path = scale.scratch(spark, "documents")
+    results.write_metrics(documents, path)
+    members = lambda column: F.explode(F.col(column).cast("map<string,variant>")).alias("label", "value")
+    top = results.read_metrics(spark, path).select("experiment", members("document"))
+    report = top.where("label = 'classification_report'").select("experiment", members("value"))
+    entries = top.where("label not in ('classification_report', 'confusion_matrix')").unionByName(report)
+    fields = {"": "$", **{name: f"$['{name}']" for name in ("precision", "recall", "f1-score", "support")}}
+    numbers = entries.select("experiment", "label", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("field"), F.try_variant_get("value", place, "double").alias("number"))
+        for name, place in fields.items()
+    ]))).where("number is not null")
+    matrix = top.where("label = 'confusion_matrix'").select(
+        "experiment", F.posexplode(F.col("value").cast("array<array<bigint>>")).alias("i", "row")
+    ).select("experiment", F.format_string("row %d", "i").alias("label"), F.posexplode("row").alias("field", "number"))
+    matrix = matrix.withColumns({"field": F.col("field").cast("string"), "number": F.col("number").cast("double")})
+    return rounded(numbers.unionByName(matrix))
+
+
 # ---- multi-label evaluation
 
 
@@ -226,6 +249,15 @@ def seeded_permutation(spark, sf):
     return ordering.permute(rows)
 
 
+@query
+def shuffle_fully_repeated_ids(spark, sf):
+    """Rows that share ids or have none, and German rows that are there three times."""
+    few = F.when(F.col("original_id") % 7 > 0, (F.col("original_id") % 10).cast("string"))
+    rows = data.documents(spark, sf).select(few.alias("id"), "lang", "dataset", "input")
+    copies = F.when(F.col("lang") == "de", 3).otherwise(1)
+    return ordering.shuffle(rows.withColumn("n", F.explode(F.array_repeat(F.lit(1), copies))).drop("n"), "fully", id_col=None)
+
+
 # ---- unions and counts
 
 
@@ -594,6 +626,74 @@ def record_source(spark, sf):
     return corpus.read_records(spark, path, "lines").drop("position")
 
 
+def _arrays(df: DataFrame, *folders: str) -> DataFrame:
+    """JSON arrays of up to 200 records each, one or several to a file."""
+    rows = df.withColumn("part", F.expr("cast(original_id as bigint) div 200"))
+    record = F.struct(*[c for c in df.columns if c not in folders])
+    return rows.groupBy(*folders, "part").agg(F.to_json(F.collect_list(record)).alias("value")).drop("part")
+
+
+@query
+def corpus_source_array(spark, sf):
+    """The same folders with JSON arrays, read for the split without a judgement."""
+    split = F.when(F.col("output").isNull(), "test.json").otherwise("train.json")
+    rows = _to_score(spark, sf).withColumns({"l": F.col("lang"), "d": F.col("dataset"), "f": split})
+    path = scale.scratch(spark, "corpus")
+    _arrays(rows, "l", "d", "f").write.partitionBy("l", "d", "f").text(path)
+    langs = [f"l={lang}" for lang in LANGS]
+    read = corpus.read_corpus(spark, path, "f=test", langs, "array", schema.INSTRUCTION)
+    return read.select("id", "input", "instruction", "folder", "folder_lang")
+
+
+@query
+def record_source_array(spark, sf):
+    path = scale.scratch(spark, "records")
+    _arrays(_to_score(spark, sf)).repartition(3, "value").write.text(path)
+    return corpus.read_records(spark, path, "array").drop("position")
+
+
+@query
+def first_of_files(spark, sf):
+    """Records of three files of unequal size with keys in common: those of the first file by name count."""
+    path = scale.scratch(spark, "files")
+    rows = _to_score(spark, sf)
+    number = F.col("original_id").cast("bigint")
+    for name, of in (("b-large", F.lit(True)), ("c-middle", number % 3 > 0), ("a-small", number % 10 == 0)):
+        part = rows.where(of).withColumn("instruction", F.concat(F.lit(f"{name} "), F.pmod(number, F.lit(4)).cast("string")))
+        part.withColumn("id", F.concat((number % 500).cast("string"), F.lit("-"), "lang")).write.json(f"{path}/{name}")
+    read = corpus.read_records(spark, f"{path}/*", "lines")
+    first = records.first_of_duplicates(read, "position")
+    return first.select("id", *BY, F.substring_index("instruction", " ", 1).alias("file"))
+
+
+@query
+def corpus_build(spark, sf):
+    """A corpus of JSON arrays without languages and datasets in its records: folders tell them apart."""
+    rows = _to_score(spark, sf).withColumns({"l": F.col("lang"), "d": F.col("dataset"), "f": F.lit("train.json")})
+    base, target = scale.scratch(spark, "corpus"), scale.scratch(spark, "prepared")
+    _arrays(rows.drop("lang", "dataset"), "l", "d", "f").write.partitionBy("l", "d", "f").text(base)
+    langs = [f"l={lang}" for lang in LANGS]
+    corpus_plan.build_corpus(spark, base, target, 10, "f=train", "by_language", langs=langs)
+    built = corpus.read_prepared(spark, target)
+    return built.select("id", "folder_lang", "folder", "lang", "dataset", "position", "text")
+
+
+@query
+def result_source_objects(spark, sf):
+    """One JSON object per file, over several lines, some of them cut off."""
+    rows = _to_score(spark, sf).where("cast(original_id as bigint) % 10 = 0").withColumn("response", F.upper("output"))
+    text = F.to_json(F.struct(*rows.columns), {"pretty": "true"})
+    cut = F.when(F.col("output").isNull(), F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)
+    path = scale.scratch(spark, "objects")
+    files = rows.select(F.col("dataset").alias("experiment"), F.col("id").alias("file"), cut.alias("value"))
+    files.write.partitionBy("experiment", "file").text(path)
+    good, bad = results.read_results(spark, f"{path}/*", pattern="*.txt")
+    found = good.select("id", "response", F.lit("good").alias("state"))
+    spoiled = bad.select(F.regexp_extract("file", "file=([^/]*)/", 1).alias("id"), F.lit(None).cast("string").alias("response"),
+                         F.lit("corrupt").alias("state"))
+    return found.unionByName(spoiled)
+
+
 @query
 def response_sink(spark, sf):
     path = scale.scratch(spark, "responses")
