@@ -19,8 +19,15 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def with_position(df: DataFrame, position: str = "position") -> DataFrame:
-    """Number rows in read order; use it directly after a read, before anything moves rows."""
-    return df.withColumn(position, F.monotonically_increasing_id())
+    """The place of rows in their input: file, block of the file, and order within; files by name.
+
+    Use it directly after a read, before anything moves rows. Rows from elsewhere are in the order they are read.
+    """
+    place = F.struct(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    return df.withColumn(position, place)
 
 
 def cast_ids(df: DataFrame, column: str = "original_id") -> DataFrame:

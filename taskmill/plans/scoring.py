@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskmill.operators.records import first_of_duplicates, to_messages
+from taskmill.operators.records import first_of_duplicates, to_messages, with_position
 from taskmill.scale import partitions
 from taskmill.schema import RECORD_KEY
 from taskmill.sources.ledger import Ledger, record_key
@@ -102,7 +102,7 @@ def score(
     its name replaces its folder and looks past its own entries, so a repeated micro-batch changes nothing.
     """
     ledger = Ledger(df.sparkSession, results)
-    rows = df if position in df.columns else df.withColumn(position, F.monotonically_increasing_id())
+    rows = df if position in df.columns else with_position(df, position)
     result = T.StructType(df.drop(position).schema.fields + [T.StructField("response", T.StringType())])
     if batch is None:
         recover(ledger, result)

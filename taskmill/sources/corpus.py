@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from taskmill.operators.records import with_position
 from taskmill.schema import INSTRUCTION, TRAINING
+from taskmill.sources.arrays import PLACE, strict_array
 
 LAYOUTS = ("array", "lines")
 
@@ -20,14 +21,14 @@ def decoded(part: Column) -> Column:
     return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
-def _multi_line(layout: str) -> bool:
+def _is_array(layout: str) -> bool:
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout!r}, expected one of {LAYOUTS}")
     return layout == "array"
 
 
-def _strict(spark: SparkSession, schema: T.StructType, layout: str) -> DataFrameReader:
-    return spark.read.schema(schema).options(multiLine=_multi_line(layout), mode="FAILFAST")
+def _strict_lines(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
+    return spark.read.schema(schema).option("mode", "FAILFAST")
 
 
 def read_corpus(
@@ -40,29 +41,33 @@ def read_corpus(
 ) -> DataFrame:
     """All datasets of a split, tagged with ``folder_lang`` and ``folder``.
 
-    Language and split select the files. A JSON array is one task per file, so a large corpus
-    is better kept as JSON Lines (``layout='lines'``), which Spark reads in parallel. A record that does
-    not parse fails the job.
+    Language and split select the files, which are JSON arrays or, with ``layout='lines'``, JSON Lines;
+    both are read in parallel however large a file is. A record that does not parse fails the job.
     """
     paths = [f"{base}/{lang}/*/{split}.json" for lang in langs]
-    rows = _strict(spark, schema, layout).json(paths)
+    if _is_array(layout):
+        rows, path = strict_array(spark, paths, schema), F.col("file")
+    else:
+        rows, path = _strict_lines(spark, schema).json(paths), F.col("_metadata.file_path")
     # The split may be one file, or a folder of files as Spark writes it.
     place = rf"([^/]+)/([^/]+)/{re.escape(split)}\.json(/[^/]*)?$"
-    path = F.col("_metadata.file_path")
-    return rows.withColumns(
-        {
-            "folder_lang": decoded(F.regexp_extract(path, place, 1)),
-            "folder": decoded(F.regexp_extract(path, place, 2)),
-        }
+    return rows.select(
+        *schema.names, decoded(F.regexp_extract(path, place, 1)).alias("folder_lang"),
+        decoded(F.regexp_extract(path, place, 2)).alias("folder"),
     )
 
 
 def read_records(
     spark: SparkSession, path: str, layout: str = "array", schema: T.StructType = INSTRUCTION
 ) -> DataFrame:
-    """Records to score, with their input position; a record that does not parse fails the job."""
-    rows = _strict(spark, schema, layout).json(path)
-    return with_position(rows)
+    """Records to score, with their ``position``: file, block and place. One that does not parse fails the job.
+
+    Of several files the first by name comes first, whatever their sizes and however they are split.
+    """
+    if _is_array(layout):
+        rows = strict_array(spark, path, schema)
+        return rows.select(*schema.names, F.struct(*PLACE).alias("position"))
+    return with_position(_strict_lines(spark, schema).json(path))
 
 
 def write_corpus(

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -72,7 +73,7 @@ def test_sample_does_not_depend_on_partitions_or_broadcast(spark, monkeypatch):
     monkeypatch.setattr(scale, "BROADCAST_BYTES", -1)
     shuffled = sampling.stratified_sample(df.repartition(1), 40)
     assert {r.id for r in shuffled.collect()} == want
-    assert "__salt" in shuffled._jdf.queryExecution().toString()
+    assert "__heavy" in shuffled._jdf.queryExecution().toString()
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -195,3 +196,41 @@ def test_rows_without_id_are_sampled_like_others(spark):
         for seed in (42, 7):
             assert sampling.uniform_sample(df, n, seed=seed).count() == n
             assert sampling.stratified_sample(df, n, seed=seed).count() == n
+
+
+def whole_rows(n=400):
+    rng = random.Random(9)
+    rows = [(rng.choice(["1", "2", None, ""]), "en", "d", f"text {i % 90}" if i % 3 else None) for i in range(n)]
+    return rows + [("1", "en", "d", "the same")] * 150
+
+
+def test_whole_rows_order_alike_however_they_are_dealt(spark):
+    rows, ddl = whole_rows(), "id string, lang string, dataset string, input string"
+    orders = []
+    for seed, parts in ((1, 1), (2, 7), (3, 16)):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        got = ordering.shuffle(spark.createDataFrame(shuffled, ddl).repartition(parts), "fully", id_col=None).collect()
+        assert sorted(r.position for r in got) == list(range(len(rows)))
+        assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+        orders.append([tuple(r)[:4] for r in sorted(got, key=lambda r: r.position)])
+    assert orders[0] == orders[1] == orders[2]
+    beside = sum(a == b for a, b in zip(orders[0], orders[0][1:]))
+    # 150 equal rows of 550 lie beside each other about 41 times by chance.
+    assert beside < 90
+
+
+def test_copies_are_made_again_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "COPIES", 7)
+    rows = spark.createDataFrame(whole_rows(), "id string, lang string, dataset string, input string")
+    got = ordering.with_copies(rows).collect()
+    numbers = {}
+    for r in got:
+        numbers.setdefault(r["__digest"], []).append(r["__copy"])
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
+    assert sum(map(len, numbers.values())) == 550 and max(map(len, numbers.values())) >= 150
+
+
+def test_rows_without_id_are_spread_over_the_slices(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("string").alias("id"), F.lit("en").alias("lang"), F.col("id").cast("string").alias("input"))
+    slices = ordering.shuffle(rows, "fully", id_col=None).groupBy(F.spark_partition_id()).count().collect()
+    assert len(slices) == 8 and max(r["count"] for r in slices) < 700

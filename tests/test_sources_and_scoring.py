@@ -232,3 +232,36 @@ def test_text_after_a_result_is_quarantined(spark, tmp_path):
         (folder / f"{i}.json").write_text(text)
     good, bad = results.read_results(spark, str(tmp_path / "exp"))
     assert [(r.id, r.response) for r in good.collect()] == [("2", "b")] and bad.count() == 4
+
+
+def test_folders_order_a_corpus_and_absent_columns_get_defaults(spark, tmp_path):
+    for lang in LANGS:
+        for dataset in ("one", "two"):
+            folder = tmp_path / "corpus" / lang / dataset
+            folder.mkdir(parents=True)
+            rows = [{"id": "same", "input": f"{lang} {dataset} {i}", "output": "a", "task": "Detection", "lang": None} for i in range(9)]
+            (folder / "train.json").write_text(json.dumps(rows + rows[:1]))
+    target = str(tmp_path / "prepared")
+    corpus_plan.build_corpus(spark, str(tmp_path / "corpus"), target)
+    saved = corpus.read_prepared(spark, target).orderBy("position").collect()
+    assert len(saved) == 60 and {(r.lang, r.dataset, r.task) for r in saved} == {("en", "", "Detection")}
+    folders = [(r.folder_lang, r.folder) for r in saved]
+    assert folders == sorted(folders) and len(set(folders)) == 6
+    assert [r.input for r in saved[:10]] != sorted(r.input for r in saved[:10])
+
+
+def test_a_broken_array_fails_the_job(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "1", "input": "x"}, {"id": "2", "inp')
+    with pytest.raises(Exception, match="does not parse"):
+        corpus.read_records(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_the_first_file_by_name_counts(spark, tmp_path):
+    for name, ids in (("a.json", "xy"), ("b.json", "xyz" * 300), ("c.json", "wxyz")):
+        rows = [{"id": i, "lang": "en", "dataset": "d", "input": f"{name} {k}"} for k, i in enumerate(ids)]
+        (tmp_path / name).write_text(json.dumps(rows))
+        (tmp_path / name.replace(".json", ".jsonl")).write_text("\n".join(map(json.dumps, rows)))
+    for layout, pattern in (("array", "*.json"), ("lines", "*.jsonl")):
+        read = corpus.read_records(spark, str(tmp_path / pattern), layout)
+        first = {r.id: r.input.split()[0][0] + r.input.split()[1] for r in records.first_of_duplicates(read, "position").collect()}
+        assert first == {"x": "a0", "y": "a1", "z": "b2", "w": "c0"}
