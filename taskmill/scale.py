@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
 # The scratch paths made inside the ``cleared`` blocks that are open, one list for each.
 _open: list[list[str]] = []
@@ -117,6 +116,21 @@ def fits(table: DataFrame, limit: int | None = None) -> bool:
     return (table.agg(F.sum(_row_bytes(table))).first()[0] or 0) <= limit
 
 
+def heavy_keys(rows: DataFrame, on: Sequence[str], share: float) -> DataFrame:
+    """The hashes of the keys that hold more than this share of the rows, as ``__heavy``; few, whatever the rows.
+
+    They come from a mergeable sketch of frequent items: one pass over the keys, of which a task sends on
+    a summary of bounded size.
+    """
+    most = int(1 / share) + 1
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    top = rows.select(key.alias("key")).agg(
+        F.expr(f"approx_top_k(key, {most}, {8 * most})").alias("top"), F.count(F.lit(1)).alias("n")
+    )
+    found = top.select("n", F.inline("top")).where(F.col("count") > F.col("n") * share)
+    return found.select(F.col("item").alias("__heavy"))
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -125,32 +139,38 @@ def lookup(
     null_safe: bool = False,
     limit: int | None = None,
     small: bool | None = None,
+    share: float | None = None,
 ) -> DataFrame:
     """Join rows to a table with at most one row per key.
 
-    The table is measured, unless the caller knows from a larger one that it is ``small``: up to ``limit`` bytes it is broadcast and the rows do not move.
-    Beyond that both sides are shuffled with a salt, so that a key holding a large share of
-    the rows is spread over many tasks.
+    The table is measured, unless the caller knows from a larger one that it is ``small``: up to ``limit``
+    bytes it is broadcast and the rows do not move. Beyond that a sketch finds the heavy keys, those with
+    more than ``share`` of the rows (a quarter of an even task's, unless given). Their rows, and those
+    whose key is null and matches nothing, stay where they are and meet the few rows of the table that have
+    a heavy key; all others are joined by a shuffle, in which no key is large.
     """
     on = list(on)
     keys = {name: f"__key_{name}" for name in on}
     table = table.withColumnsRenamed(keys)
-    if fits(table, limit) if small is None else small:
-        table = F.broadcast(table)
-    else:
-        rows = rows.withColumn(
-            "__salt", F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.lit(SALTS)).cast("int")
-        )
-        table = table.withColumn(
-            "__key___salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        on = ["__salt"] + on
-        keys["__salt"] = "__key___salt"
 
     def equal(name: str) -> Column:
-        if null_safe and name != "__salt":
-            return F.col(f"`{name}`").eqNullSafe(F.col(f"`{keys[name]}`"))
-        return F.col(f"`{name}`") == F.col(f"`{keys[name]}`")
+        a, b = F.col(f"`{name}`"), F.col(f"`{keys[name]}`")
+        return a.eqNullSafe(b) if null_safe else a == b
+
+    def joined(part: DataFrame, other: DataFrame) -> DataFrame:
+        return part.join(other, reduce(lambda a, b: a & b, [equal(name) for name in on]), how).drop(*keys.values())
 
-    joined = rows.join(table, reduce(lambda a, b: a & b, [equal(name) for name in on]), how)
-    return joined.drop("__salt", *keys.values())
+    if fits(table, limit) if small is None else small:
+        return joined(rows, F.broadcast(table))
+    share = 1 / (4 * partitions(rows.sparkSession)) if share is None else share
+    heavy = settle(heavy_keys(rows, on, share))
+    unmatched = F.lit(False) if null_safe else reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+    hashed = rows.withColumn("__hash", F.when(~unmatched, F.xxhash64(*[F.col(f"`{c}`") for c in on])))
+    marked = hashed.join(F.broadcast(heavy), F.col("__hash") == F.col("__heavy"), "left")
+    stays = F.col("__heavy").isNotNull() | F.col("__hash").isNull()
+    kinds = dict(rows.dtypes)
+    theirs = F.xxhash64(*[F.col(f"`{keys[name]}`").cast(kinds[name]) for name in on])
+    few = settle(table.join(F.broadcast(heavy), theirs == F.col("__heavy"), "left_semi"))
+    in_place = joined(marked.where(stays).drop("__hash", "__heavy"), F.broadcast(few))
+    moved = joined(marked.where(~stays).drop("__hash", "__heavy"), table)
+    return in_place.unionByName(moved)
