@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,49 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers outlive their tasks, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(batches: Callable) -> Callable:
+    """The same function on iterators of batches; when its task ends, its memory goes back."""
+
+    @functools.wraps(batches)
+    def run(rows):
+        try:
+            yield from batches(rows)
+        finally:
+            release()
+
+    return run
+
+
+def released_group(group: Callable) -> Callable:
+    """The same function on a group, whose memory goes back before the next one comes."""
+
+    @functools.wraps(group)
+    def run(*tables):
+        try:
+            return group(*tables)
+        finally:
+            release()
+
+    # Spark tells by the arguments whether a function wants the key.
+    run.__signature__ = inspect.signature(group)
+    return run
+
+
+def slices(sizes: Sequence[int], at_once: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about this size together; a larger row is one by itself."""
+    turn = np.cumsum(sizes) // at_once
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names of internal columns that none of the frame's columns has, whatever its case."""
     taken = {c.lower() for c in df.columns}

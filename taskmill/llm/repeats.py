@@ -10,26 +10,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskmill.llm.common import (
-    SECOND, found_in, mixed, pack, pack_sorted, text_bytes, unpack, unpack_sorted, window_hashes, word_hashes,
+    SECOND, found_in, free_names, mixed, pack, pack_sorted, released_group, text_bytes, unpack, unpack_sorted,
+    window_hashes, word_hashes,
 )
 
 WINDOW = 13
 # Texts are worked on in chunks of about this many bytes, each small in a task's memory.
-CHUNK_BYTES = 8 * 1024 * 1024
+CHUNK_BYTES = 4 * 1024 * 1024
+# A bucket of hashes gets what texts of about this many bytes have; a chunk answers each bucket with one row.
+BUCKET_BYTES = 16 * 1024 * 1024
 # An anchor hash has 48 bits: a chance hit only adds windows that the full comparison turns down.
 ANCHOR_BITS = np.uint64(48)
 _NO_ID = np.iinfo(np.int64).max
 
 
 class _Chunk:
-    """The words of some documents in a row, with the hash of every word."""
-
-    def __init__(self, ids: list, texts: list) -> None:
-        self.ids = np.array([_NO_ID if i is None else i for i in ids], np.int64)
-        self.words = [t.split() if t else [] for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+    """Some documents in a row: the hash of every word and, if asked for, the words."""
+
+    def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray, words: bool = False) -> None:
+        self.ids = ids.fill_null(_NO_ID).to_numpy().astype(np.int64)
+        self.words, hashes, sizes = [], [], []
+        for text in texts:
+            here = (text.as_py() or b"").split()
+            sizes.append(len(here))
+            hashes.append(word_hashes(here))
+            if words:
+                self.words.append(here)
+        self.sizes = np.array(sizes, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        hashes = [word_hashes(w) for w in self.words]
         self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
@@ -64,8 +72,9 @@ def _blobs(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, _BLOBS)
 
 
-def _read(table: pa.Table) -> _Chunk:
-    return _Chunk(table.column("__id").to_pylist(), table.column("__text").to_pylist())
+def _read(table: pa.Table, words: bool = False) -> _Chunk:
+    """The id comes last but two in every chunk, the text last but one."""
+    return _Chunk(table.column(table.num_columns - 3), table.column(table.num_columns - 2), words)
 
 
 def _anchors_of(buckets: int, anchor: int):
@@ -98,7 +107,7 @@ def _anchors_of(buckets: int, anchor: int):
 def _split(table: pa.Table, unpacked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of all blobs of a bucket, which blob each is from, and the chunk of every blob."""
     parts = [unpacked(x.as_py()) for x in table.column("keys")]
-    blob = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    blob = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
     return np.concatenate(parts), blob, np.array(table.column("chunk").to_pylist())
 
 
@@ -195,13 +204,13 @@ def _first_holders(key: tuple, table: pa.Table) -> pa.Table:
     ])
 
 
-def _cut(size: int, schema: pa.Schema):
+def _cut(size: int, schema: pa.Schema, unchanged: bool):
     """The documents of a chunk without the repeats, and where these were."""
 
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        chunk = _read(docs)
+        chunk = _read(docs, words=True)
         covered = np.zeros(len(chunk.hashes) + 1, np.int64)
         if shared.num_rows:
             keys = _gathered(shared)
@@ -220,11 +229,12 @@ def _cut(size: int, schema: pa.Schema):
             np.add.at(covered, at[taken] + size, -1)
         removed = np.cumsum(covered)[:-1] > 0
         texts, counts, spans = [], [], []
-        for words, a, b in zip(chunk.words, chunk.starts[:-1], chunk.starts[1:]):
+        whole = docs.column(docs.num_columns - 2)
+        for i, (words, a, b) in enumerate(zip(chunk.words, chunk.starts[:-1], chunk.starts[1:])):
             gone = removed[a:b]
             counts.append(int(gone.sum()))
             if not counts[-1]:
-                texts.append(b" ".join(words))
+                texts.append(whole[i].as_py() if unchanged else b" ".join(words))
                 spans.append([])
                 continue
             texts.append(b" ".join([w for w, x in zip(words, gone) if not x]))
@@ -235,7 +245,7 @@ def _cut(size: int, schema: pa.Schema):
             "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
             "removed": pa.array(spans, schema.field("removed").type),
         }
-        columns = [out[f.name] if f.name in out else docs.column(f.name) for f in schema]
+        columns = [out[f.name] if f.name in out else docs.column(i) for i, f in enumerate(schema)]
         return pa.Table.from_arrays(columns, schema=schema)
 
     return run
@@ -248,18 +258,22 @@ def remove_repeats(
     window: int = WINDOW,
     keep: tuple[str, ...] | None = None,
     chunk_bytes: int = CHUNK_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
+    unchanged: bool = False,
 ) -> DataFrame:
     """Take out of every document the passages that a document with a smaller id has too.
 
     A passage is a maximal run of words covered by windows of ``window`` words whose sequence also
     starts in a document with a smaller id. Adds ``n_words``, ``n_removed``, ``kept_text`` (kept words
     joined by one space) and ``removed`` (spans of word places); of the other columns ``keep`` stay, or
-    all. Words are split at white space and compared as they are.
+    all. Words are split at white space and compared as they are. With ``unchanged`` a text without a
+    repeat is given back as it is, white space and null included.
 
     Reference blocks of (window + 1) / 2 words that do not overlap are the anchors: any repeated window
     has one of them whole. Every rolling window of that size probes them; where an anchor is shared, the
     windows around it are compared in full. Both comparisons get one entry per chunk and sequence,
-    however often the chunk repeats it, and answer the chunks that asked.
+    however often the chunk repeats it, and answer the chunks that asked. A chunk sends one row to each
+    bucket, so with more memory to a task both sizes should grow.
 
     Null and empty texts have no words. A null id counts as larger than all others; rows with equal ids
     do not remove from each other. An empty table gives an empty result.
@@ -270,18 +284,22 @@ def remove_repeats(
     new = ("n_words", "n_removed", "kept_text", "removed")
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in new)
     anchor = (window + 1) // 2
-    chunks = max(1, math.ceil(text_bytes(docs, text) / chunk_bytes))
+    size = text_bytes(docs, text)
+    chunks = max(1, math.ceil(size / chunk_bytes))
+    buckets = max(1, math.ceil(size / bucket_bytes))
     parts = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    id_, body, place = free_names(docs, "id", "text", "chunk")
     rows = docs.select(
-        *keep, F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("binary").alias("__text"),
-        F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int").alias("__chunk"),
-    ).repartition(parts, "__chunk")
-    by_chunk = lambda: rows.groupBy("__chunk")
-
-    probes = by_chunk().applyInArrow(_anchors_of(chunks, anchor), BLOBS)
-    hits = probes.groupBy("bucket").applyInArrow(_shared_anchors, BLOBS)
-    found = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(_extended(chunks, anchor, window), BLOBS)
-    shared = found.groupBy("bucket").applyInArrow(_first_holders, BLOBS)
+        *[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").cast("long").alias(id_),
+        F.col(f"`{text}`").cast("binary").alias(body),
+        F.pmod(F.xxhash64(f"`{doc_id}`", f"`{text}`"), F.lit(chunks)).cast("int").alias(place),
+    ).repartition(parts, place)
+    by_chunk = lambda: rows.groupBy(place)
+
+    probes = by_chunk().applyInArrow(released_group(_anchors_of(buckets, anchor)), BLOBS)
+    hits = probes.groupBy("bucket").applyInArrow(released_group(_shared_anchors), BLOBS)
+    found = by_chunk().cogroup(hits.groupBy("chunk")).applyInArrow(released_group(_extended(buckets, anchor, window)), BLOBS)
+    shared = found.groupBy("bucket").applyInArrow(released_group(_first_holders), BLOBS)
     spans = "n_words bigint, n_removed bigint, kept_text string, removed array<struct<begin:int,len:int>>"
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -289,4 +307,4 @@ def remove_repeats(
     fields = [f for f in rows.schema.fields if f.name in keep]
     schema = T.StructType(fields + T.StructType.fromDDL(spans).fields)
     arrow = to_arrow_schema(schema)
-    return by_chunk().cogroup(shared.groupBy("chunk")).applyInArrow(_cut(window, arrow), schema)
+    return by_chunk().cogroup(shared.groupBy("chunk")).applyInArrow(released_group(_cut(window, arrow, unchanged)), schema)
