@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from taskmill.llm.common import text_bytes, window_hashes, word_hashes
+from taskmill.llm.common import released, text_bytes, window_hashes, word_hashes
 from taskmill.scale import settle, stage
 
 WINDOW = 13
@@ -107,7 +107,7 @@ def matching_shingles(rows: DataFrame, items: DataFrame) -> DataFrame:
 
     doc_type = rows.schema["doc"].dataType.simpleString()
     return rows.select("doc", F.col("text").cast("binary")).mapInArrow(
-        run, f"doc {doc_type}, n_words bigint, pos array<int>, gram array<bigint>"
+        released(run), f"doc {doc_type}, n_words bigint, pos array<int>, gram array<bigint>"
     )
 
 

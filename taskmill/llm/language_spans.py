@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import mixed
+from taskmill.llm.common import mixed, release, released, slices
 from taskmill.scale import lookup, settle
 
 # About this many documents of each language are enough to learn its n-grams; a hash of the text picks them.
@@ -135,7 +135,7 @@ def fit(
                 names=["lang", "bin", "n"],
             )
 
-    counts = picked.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(
+    counts = picked.mapInArrow(released(count), "lang string, bin int, n bigint").groupBy("lang", "bin").agg(
         F.sum("n").alias("n")
     ).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).orderBy("lang").collect()
     vectors = []
@@ -239,13 +239,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", switch:
     @F.pandas_udf("lang_pred string, score double, spans array<struct<begin:int,len:int,lang:string>>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fitted = sent.value
-        for texts in batches:
-            rows = []
-            turn = np.cumsum([len(t or "") for t in texts]) // CHARS_AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1), len(texts)]
-            for a, b in zip(cuts, cuts[1:]):
-                rows.extend(_judged(texts.iloc[a:b].tolist(), fitted, switch))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
+        try:
+            for texts in batches:
+                for a, b in slices([len(t or "") for t in texts], CHARS_AT_ONCE):
+                    rows = list(_judged(texts.iloc[a:b].tolist(), fitted, switch))
+                    yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
+        finally:
+            release()
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     lettered = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
