@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from taskmill.llm.common import STEP, found_in, let
+from taskmill.llm.common import STEP, found_in, free_names, let, released
 
 SPACE = "▁"
 # Boundaries of a word are bits of one long, so longer words are cut by the small merge below instead.
@@ -429,11 +429,13 @@ def encode(
     Texts are cut into words that no piece reaches over, and each distinct word of a batch goes through the
     lattice once. Nothing is shuffled. Of the other columns ``keep`` stay, or all. A null or empty text has
     no ids. A space and U+2581 are the same to a model, so a text with U+2581 does not make the round trip.
-    Repeated rows stay; old columns of the new names are replaced.
+    Words of any length are cut, long ones by a small merge of their own. Repeated rows stay; old columns
+    of the new names are replaced.
     """
     new = ("ids", "n_ids", "round_trip")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*[c for c in keep if c != text], F.col(text).alias("__text"))
+    (body,) = free_names(docs, "text")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep if c != text], F.col(f"`{text}`").alias(body))
     schema = T.StructType(
         [docs.schema[c] for c in keep] + T.StructType.fromDDL("ids array<int>, n_ids int, round_trip boolean").fields
     )
@@ -443,12 +445,12 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(sent.value)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.binary_length(batch.column(body)), 0).to_numpy(zero_copy_only=False)
             turn = np.cumsum(sizes) // batch_bytes
             cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
-                texts = part.column("__text").to_pylist()
+                texts = part.column(body).to_pylist()
                 ids, ends = encoded(texts, lattice)
                 same = [
                     decoded(ids[x:y].tolist(), lattice.pieces) == (t or "") for t, x, y in zip(texts, ends[:-1], ends[1:])
@@ -458,11 +460,11 @@ def encode(
                     "n_ids": pa.array(np.diff(ends), pa.int32()), "round_trip": pa.array(same, pa.bool_()),
                 }
                 yield pa.RecordBatch.from_arrays([
-                    out[f.name].cast(f.type) if f.name in out else part.column("__text" if f.name == text else f.name)
+                    out[f.name].cast(f.type) if f.name in out else part.column(body if f.name == text else f.name)
                     for f in arrow
                 ], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
