@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import STEP, mixed, window_hashes, word_hashes
+from taskmill.llm.common import STEP, mixed, release, released, slices, window_hashes, word_hashes
 from taskmill.llm.decontamination import folded_words
 from taskmill.scale import lookup, settle, stage
 
@@ -19,6 +19,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # 40 bands of 6: two texts of similarity 0.8 share a band with probability 1 - 5e-6, of 0.5 with 0.47.
 BANDS, ROWS = 40, 6
+# Python works on about so many bytes of a column at a time.
+BYTES_AT_ONCE = 1 << 20
 
 # Time is cut into slabs: [0, 1/64), then doubling up to 1, then one unit each.
 _FINE = 7
@@ -156,14 +158,19 @@ def sketches(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "id bigint, content binary, bands array<bigint>"
+        released(run), "id bigint, content binary, bands array<bigint>"
     )
 
 
 def _cell_sets(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
-    def cells(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _cells(folded_words(t)))
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                for a, b in slices([len(t or b"") for t in texts], BYTES_AT_ONCE):
+                    yield texts.iloc[a:b].map(lambda t: _cells(folded_words(t)))
+        finally:
+            release()
 
     return docs.select("id", cells(F.col("text").cast("binary")).alias("cells"))
 
@@ -198,8 +205,13 @@ def across_classes(sets: DataFrame, classes: DataFrame, least: float) -> DataFra
     their own rare cells in these places, and so do not meet each other.
     """
     @F.pandas_udf("array<bigint>")
-    def numbers(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: _numbers(c).view(np.int64))
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for cells in batches:
+                for a, b in slices([len(c) for c in cells], BYTES_AT_ONCE):
+                    yield cells.iloc[a:b].map(lambda c: _numbers(c).view(np.int64))
+        finally:
+            release()
 
     size = (F.octet_length("cells") / 5).cast("long")
     each = sets.join(classes, "id").select("id", "label", size.alias("size"), F.explode(numbers("cells")).alias("cell"))
@@ -256,7 +268,8 @@ def near_duplicates(
     fewer than five words is one shingle; one without words, or null, is linked to nothing. Rows with
     words and equal ids are in one class; a null id gets a null class. Other columns are not read.
 
-    Signatures choose whom to compare. In each bucket of a band all members are compared with one leader.
+    Signatures choose whom to compare. In each bucket of a band all members are compared with one leader, the
+    one that shares most buckets with others: the origin of a group of near copies, whatever its id.
     Members of buckets in which several classes remain are joined across classes by an exact prefix filter
     (see ``across_classes``), so no link is left out, and no pair within a class is looked at.
     """
@@ -265,40 +278,44 @@ def near_duplicates(
     texts = seen.where("content is not null").groupBy("content").agg(
         F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")
     )
-    buckets = texts.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    crowded = stage(buckets.join(shared, "key"), "buckets")
+    buckets = stage(texts.select("rep", F.explode("bands").alias("key")), "bands")
+    shared = settle(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    crowded = stage(lookup(buckets, shared, ["key"], "inner"), "buckets")
+    # Who shares most buckets with others: the origin that near copies were made from, before any of them.
+    central = crowded.groupBy("rep").agg(F.sum("n").alias("company"))
+    crowded = stage(crowded.join(central, "rep").select("rep", "key", "company"), "crowded")
 
     nodes = crowded.select(F.col("rep").alias("id")).distinct()
     sets = stage(_cell_sets(lookup(rows, settle(nodes), ["id"], "inner")), "cells")
 
     # First every member of a bucket is compared with the bucket's leader.
-    leaders = crowded.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = stage(
-        crowded.join(leaders, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs"
-    )
+    leaders = settle(crowded.groupBy("key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("a")))
+    led = lookup(crowded, leaders, ["key"], "inner").where("rep <> a")
+    pairs = stage(led.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     links = stage(verified(pairs, sets, least), "links")
     # Then whatever lies in a bucket with several classes is compared across classes.
     names = components(links).withColumnRenamed("id", "rep")
     labelled = stage(crowded.join(names, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
-    mixed_ = labelled.groupBy("key").agg(F.min("label").alias("__least"), F.max("label").alias("__most")).where(
+    mixed_ = settle(labelled.groupBy("key").agg(F.min("label").alias("__least"), F.max("label").alias("__most")).where(
         "__least <> __most"
-    ).select("key")
-    unsettled = stage(labelled.join(mixed_, "key").select(F.col("rep").alias("id"), "label").distinct(), "unsettled")
+    ).select("key"))
+    unsettled = lookup(labelled, mixed_, ["key"], "left_semi").select(F.col("rep").alias("id"), "label").distinct()
+    unsettled = stage(unsettled, "unsettled")
     across = stage(across_classes(sets, unsettled, least), "across")
     links = links.unionByName(stage(verified(across, sets, least), "links"))
 
     # Rows with one id but several texts join what these texts belong to.
-    same = seen.join(texts.select("content", "rep"), "content").where("id <> rep").select(
+    worded = seen.where("content is not null").select("id", "content")
+    several = worded.groupBy("id").agg(F.count_distinct("content").alias("n")).where("n > 1").select("id")
+    same = worded.join(several, "id").join(texts.select("content", "rep"), "content").where("id <> rep").select(
         F.col("rep").alias("a"), F.col("id").alias("b")
     )
-    several = seen.where("content is not null").groupBy("id").agg(F.count_distinct("content").alias("n")).where("n > 1")
-    same = same.join(several.select(F.col("id").alias("b")), "b").select("a", "b")
     names = components(links.select("a", "b").unionByName(same))
     reps = texts.select("content", "rep").join(names.withColumnRenamed("id", "rep"), "rep", "left").select(
         "content", F.coalesce("label", "rep").alias("class_id")
     )
-    known = seen.select("id", "content").join(reps, "content", "left").select(
+    # Texts without words have no content and stay as they are; a content of many copies is a heavy key.
+    known = lookup(seen.select("id", "content"), stage(reps, "reps"), ["content"]).select(
         F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id")
     )
     lost = rows.where("id is null").select(F.col("id").alias(doc_id), F.col("id").alias("class_id"))
