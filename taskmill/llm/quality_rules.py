@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import SPACES, let, words_of
+from taskmill.llm.common import SPACES, free_names, let, words_of
 from taskmill.scale import lookup, settle, stage
 
 WINDOW = 8
@@ -18,8 +18,9 @@ MAX_REPEAT_PERCENT = 30
 
 # A bin of the sketch is this much wider than the one below it, so quantiles are right to 2 %.
 GAMMA = 1.04
-# A group with fewer judged documents takes the cutoffs of its language, then of everything.
-MIN_GROUP = 100
+# The cutoffs of a group of so many judged documents count as much as those of its language, and theirs as
+# much as those of everything; larger groups go by their own more and more.
+SHRINK = 100
 # A document may lie this many quartile distances outside the quartiles, plus the margin of the rule.
 REACH = 3.0
 # Rule: (numerator, denominator, margin below or None, margin above).
@@ -78,15 +79,16 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         lines,
         lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")),
     )
-    out = docs.withColumns({"__counted": counted, "__lined": lined})
+    words, parts = free_names(docs, "counted", "lined")
+    out = docs.withColumns({words: counted, parts: lined})
     return out.withColumns({
-        "n_words": F.col("__counted.n_words").cast("long"),
-        "word_chars": F.col("__counted.word_chars").cast("long"),
+        "n_words": F.col(f"{words}.n_words").cast("long"),
+        "word_chars": F.col(f"{words}.word_chars").cast("long"),
         "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": F.col("__lined.dup").cast("long"),
-        "n_repeat_words": F.col("__counted.n_repeat_words").cast("long"),
-        "n_lines": F.col("__lined.n").cast("long"),
-    }).drop("__counted", "__lined")
+        "n_dup_lines": F.col(f"{parts}.dup").cast("long"),
+        "n_repeat_words": F.col(f"{words}.n_repeat_words").cast("long"),
+        "n_lines": F.col(f"{parts}.n").cast("long"),
+    }).drop(words, parts)
 
 
 def base_failed() -> Column:
@@ -154,9 +156,30 @@ def cutoffs(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*by, "rule", "rows", low.alias("low"), high.alias("high"))
 
 
-def _one_row(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return table.groupBy(*by).agg(F.max("rows").alias("rows"), F.map_from_entries(
-        F.collect_list(F.struct("rule", F.struct("low", "high")))
+def shrunk(fine: DataFrame, middle: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row per language and source: the cutoffs of each rule, drawn to those of the language and of everything.
+
+    How far follows from the number of documents they come from, so no group is judged in another way
+    for having one document more.
+    """
+    def named(table: DataFrame, name: str, *keys: str) -> DataFrame:
+        return table.select(*[F.col(k).alias(f"{k}_{name}") for k in keys], F.col("rule").alias(f"rule_{name}"),
+                            F.struct("rows", "low", "high").alias(name))
+
+    same = F.col("rule") == F.col("rule_all")
+    of_lang = F.col("__lang").eqNullSafe(F.col("__lang_middle")) & (F.col("rule") == F.col("rule_middle"))
+    # Tables of one row per language and rule, and per rule.
+    rows = fine.join(F.broadcast(named(middle, "middle", "__lang")), of_lang).join(F.broadcast(named(whole, "all")), same)
+
+    def drawn(own: Column, rows: Column, other: Column) -> Column:
+        return (rows * own + SHRINK * other) / (rows + SHRINK)
+
+    def limit(side: str) -> Column:
+        middle = drawn(F.col(f"middle.{side}"), F.col("middle.rows"), F.col(f"all.{side}"))
+        return drawn(F.col(side), F.col("rows"), middle).alias(side)
+
+    return rows.groupBy("__lang", "__source").agg(F.map_from_entries(
+        F.collect_list(F.struct("rule", F.struct(limit("low"), limit("high"))))
     ).alias("limits"))
 
 
@@ -167,10 +190,12 @@ def apply_quality_rules(
 
     Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines``, ``base_failed``,
     ``failed_rules`` (names, sorted as in RULES) and ``kept``. Quantile sketches are taken per language
-    and source of the documents that pass the base rules; a group of fewer than ``MIN_GROUP`` uses the
-    merged sketch of its language, and a small language that of all documents. Null languages and
-    sources are groups of their own. Null or empty texts fail the base rules; with no document passing
-    them there are no cutoffs and nothing else to judge. Repeated rows are judged alike, each for itself.
+    and source of the documents that pass the base rules, and merged for each language and for everything.
+    The cutoffs of a group are drawn to those of its language, and these to those of everything, the more
+    the smaller the group is (``SHRINK``). Null languages and sources are groups of their own. Null or empty
+    texts fail the base rules; with no document passing them there are no cutoffs and nothing else to judge.
+    A very long text is one row and is counted whole. A value on a cutoff passes. Repeated rows are judged
+    alike, each for itself; old columns of the new names are replaced, all others but the text stay.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "base_failed", "failed_rules", "kept")]
     narrow = docs.select(*columns)
@@ -186,36 +211,16 @@ def judge(counted: DataFrame, lang: str = "lang", source: str = "source") -> Dat
         *dict.fromkeys(c for rule in RULES.values() for c in rule[:2]),
     )
     sketches = settle(sketch(passed, ("__lang", "__source")))
-    fine = _one_row(cutoffs(sketches, ("__lang", "__source")), ("__lang", "__source"))
-    middle = _one_row(cutoffs(sketches, ("__lang",)), ("__lang",))
-    whole = _one_row(cutoffs(sketches), ()).first()
-
-    def limits(found, rule: str, side: str) -> Column:
-        return found[rule][side]
-
-    keyed = counted.withColumns({"__lang": F.col(lang), "__source": F.col(source)})
-    groups = settle(
-        lookup(
-            fine.withColumnsRenamed({"limits": "__fine", "rows": "__fine_rows"}),
-            middle.withColumnsRenamed({"limits": "__middle", "rows": "__middle_rows"}),
-            ["__lang"], null_safe=True,
-        ).select(
-            "__lang", "__source",
-            F.when(F.col("__fine_rows") >= MIN_GROUP, F.col("__fine"))
-            .when(F.col("__middle_rows") >= MIN_GROUP, F.col("__middle")).alias("__limits"),
-        )
-    )
-    joined = lookup(keyed, groups, ["__lang", "__source"], null_safe=True)
+    fine, middle = cutoffs(sketches, ("__lang", "__source")), cutoffs(sketches, ("__lang",))
+    of_lang, of_source, limits = free_names(counted, "lang", "source", "limits")
+    groups = settle(shrunk(fine, middle, cutoffs(sketches))).toDF(of_lang, of_source, limits)
+    keyed = counted.withColumns({of_lang: F.col(lang), of_source: F.col(source)})
+    joined = lookup(keyed, groups, [of_lang, of_source], null_safe=True)
     failed = []
     for rule in RULES:
-        sides = []
-        for side in ("low", "high"):
-            general = whole["limits"][rule][side] if whole and whole["limits"] else None
-            limit = F.coalesce(limits(F.col("__limits"), rule, side), F.lit(general).cast("double"))
-            sides.append(F.coalesce(_value(rule) < limit if side == "low" else _value(rule) > limit, F.lit(False)))
-        failed.append(F.when(sides[0] | sides[1], F.lit(rule)))
+        low, high = (F.col(limits)[rule][side] for side in ("low", "high"))
+        outside = F.coalesce(_value(rule) < low, F.lit(False)) | F.coalesce(_value(rule) > high, F.lit(False))
+        failed.append(F.when(outside, F.lit(rule)))
     return joined.withColumns({
         "base_failed": base_failed(), "failed_rules": F.array_compact(F.array(*failed)),
-    }).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(
-        "__lang", "__source", "__limits"
-    )
+    }).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(of_lang, of_source, limits)

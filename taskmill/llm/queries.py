@@ -12,7 +12,7 @@ from taskmill.llm.dart_minhash import near_duplicates
 from taskmill.llm.decontamination import contaminated, decontaminate
 from taskmill.llm.prefix_trie import prefix_nodes
 from taskmill.llm.quality_rules import apply_quality_rules
-from taskmill.llm.quotations import format_chats
+from taskmill.llm.quotations import format_chats, link_quotes, parse_quotes
 from taskmill.llm.repeats import remove_repeats
 from taskmill.llm.sentencepiece_lattice import encode, load_pieces
 from taskmill.llm.token_counts import count_tokens, load_pre_tokens
@@ -57,13 +57,13 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), archive)
-    captures = assemble(stage(read_warc(spark, archive, with_payload=False), "records"))
+    captures = stage(assemble(stage(read_warc(spark, archive, with_payload=False), "records")), "captures")
     return with_referred(captures, "page_id").select(
-        F.element_at("metadata.fields", F.lit("page_id")).cast("long").alias("page_id"),
+        F.element_at("metadata.fields", F.lit("page_id")).try_cast("long").alias("page_id"),
         "payload_bytes",
         F.coalesce("computed_digest", "payload_digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
-        F.when(F.col("type") == "revisit", F.col("referred").cast("long")).alias("refers_to"),
+        F.when(F.col("type") == "revisit", F.col("referred").try_cast("long")).alias("refers_to"),
     )
 
 
@@ -97,11 +97,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = F.filter("messages", lambda m: m["reply_to"].isNotNull())
     pair = lambda m: F.concat_ws(":", m["turn"].cast("string"), m["reply_to"].cast("string"))
     return chats.select(
-        "conv_id", "thread_segment", "turn_segment", "n_messages", "n_quotes", "n_linked",
+        "conv_id", "segment", "n_messages", "n_quotes", "n_linked",
         F.array_join(F.transform(replies, pair), ",").alias("replies"), "chat",
     )
 
 
+def op10_planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of quotes planted by rule: a whole message, its first line, or that below a quote of the one before."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("last"))
+    sooner = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.split("text", "\n")[0].alias("first"))
+    rows = turns.join(before, ["conv_id", "turn"], "left").join(sooner, ["conv_id", "turn"], "left")
+    line = F.split("last", "\n")[0]
+    quote = F.element_at(F.array(
+        F.regexp_replace("last", r"(?m)^", "> "), F.concat(F.lit(">"), line),
+        F.concat(F.lit(">> "), "first", F.lit("\n> "), F.replace(line, F.lit(" "), F.lit("  "))),
+    ), F.nullif(F.pmod(F.col("turn") + F.col("conv_id"), F.lit(4)), F.lit(0)).cast("int"))
+    quoted = rows.withColumn("text", F.concat_ws("\n", quote, "text"))
+    return link_quotes(parse_quotes(quoted)).select("conv_id", "turn", "passage", "level", "origin")
+
+
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -116,6 +131,6 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minhash_dedup, op3_sentencepiece, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
-    op8_quality_classifier, op9_substring_dedup, op10_chat_formatting, op11_centroid_clustering, op12_prefix_trie,
+    op8_quality_classifier, op9_substring_dedup, op10_chat_formatting, op10_planted_quotes, op11_centroid_clustering, op12_prefix_trie,
     op13_token_counts,
 )}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskmill.llm.common import let
 from taskmill.scale import stage
 
-# Messages of a conversation are put together in segments of so many turns.
+# A row of chat holds so many messages of a conversation at most.
 SEGMENT = 1024
+# A passage is linked to a message that has at least this share of its characters.
+LEAST_SHARE = 1 / 3
 MARKERS = r"^(?:[ \t]*>)+[ \t]?"
 # A line that announces a quote right below it, as mail programs write it (fixed values).
 ANNOUNCES = r"(?i)(?:\bwrote|\bschrieb|\ba écrit|\bescribió)\s*:\s*$"
@@ -61,21 +63,27 @@ def _passage_hashes(text: Column) -> Column:
 
 
 def parse_quotes(messages: DataFrame) -> DataFrame:
-    """Add ``content``, the text without quotes, and ``quotes``: (level, hashes) per quoted passage.
+    """Add ``content``, the text without quotes, and ``quotes``: (level, chars, parts) per quoted passage.
 
-    The first hash of a passage is that of the whole, the others those of its lines.
+    Its parts are the whole and each of its lines, by hash and length; ``chars`` is the length of all lines.
     """
-    def hashes(lines: Column) -> Column:
-        each = F.concat(F.array(F.array_join(lines, "\n")), lines)
-        return F.array_distinct(F.transform(
-            F.filter(F.transform(each, normalised), lambda x: x != ""), lambda x: F.md5(x)
-        ))
+    def said(lines: Column) -> Column:
+        return F.filter(F.transform(lines, normalised), lambda x: x != "")
+
+    def parts(lines: Column) -> Column:
+        each = F.concat(F.array(normalised(F.array_join(lines, "\n"))), said(lines))
+        return F.array_distinct(F.transform(each, lambda x: F.struct(F.md5(x).alias("hash"), F.char_length(x).alias("chars"))))
+
+    def chars(lines: Column) -> Column:
+        return F.aggregate(said(lines), F.lit(0), lambda n, x: n + F.char_length(x))
 
     parsed = let(quote_lines(F.col("text")), lambda lines: F.struct(
         _own_text(lines).alias("content"),
         F.transform(
             F.filter(_runs(lines), lambda r: (r["level"] > 0) & F.exists(r["lines"], lambda x: F.trim(x) != "")),
-            lambda r: F.struct(r["level"].alias("level"), hashes(r["lines"]).alias("hashes")),
+            lambda r: F.struct(
+                r["level"].alias("level"), chars(r["lines"]).alias("chars"), parts(r["lines"]).alias("parts")
+            ),
         ).alias("quotes"),
     ))
     return messages.withColumn("__parsed", parsed).select(
@@ -86,23 +94,31 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
 def link_quotes(parsed: DataFrame) -> DataFrame:
     """Per message that quotes: (conv_id, turn, passage, level, origin), origin null where nothing is found.
 
-    A passage is linked to the first message of its conversation that has it unquoted in an earlier turn:
-    by the hash of the whole passage, else by that of any of its lines. Originals are combined to one row
-    per conversation and hash before they are joined.
+    Every part of a passage, the whole and its lines, names the nearest earlier message of the conversation
+    that has it unquoted. The passage is linked to the message named for the largest share of its
+    characters, the nearest of several, if that is ``LEAST_SHARE`` or more. A part names one message
+    at most, so a line that everybody writes makes no pairs.
     """
+    key = ["conv_id", "hash"]
     quoting = parsed.where(F.size("quotes") > 0).select("conv_id", "turn", F.posexplode("quotes").alias("passage", "q"))
-    units = quoting.select(
-        "conv_id", "turn", "passage", F.col("q.level").alias("level"),
-        F.posexplode_outer("q.hashes").alias("unit", "hash"),
-    )
-    talking = units.select("conv_id").distinct()
-    origins = parsed.join(talking, "conv_id", "left_semi").select(
+    passages = quoting.select("conv_id", "turn", "passage", F.col("q.level").alias("level"), F.col("q.chars").alias("chars"))
+    parts = stage(quoting.select("conv_id", "turn", "passage", F.explode("q.parts").alias("p")).select(
+        "conv_id", "turn", "passage", F.col("p.hash").alias("hash"), F.col("p.chars").alias("part")
+    ), "parts")
+    talking = parts.select("conv_id").distinct()
+    holders = parsed.join(talking, "conv_id", "left_semi").select(
         "conv_id", "turn", F.explode(_passage_hashes(F.col("content"))).alias("hash")
-    ).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    found = units.join(origins, ["conv_id", "hash"], "left")
-    earlier = F.when(F.col("origin") < F.col("turn"), F.struct((F.col("unit") > 0).alias("part"), "origin"))
-    return found.groupBy("conv_id", "turn", "passage", "level").agg(F.min(earlier).alias("o")).select(
-        "conv_id", "turn", "passage", "level", F.col("o.origin").alias("origin")
+    ).join(parts.select(*key).distinct(), key, "left_semi")
+    # In the order of the turns; a message does not quote itself, so holders of a turn come after its quotes.
+    both = parts.withColumn("holds", F.lit(False)).unionByName(holders.withColumn("holds", F.lit(True)), allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy("turn", "holds").rowsBetween(Window.unboundedPreceding, -1)
+    named = both.withColumn("origin", F.last(F.when(F.col("holds"), F.col("turn")), ignorenulls=True).over(before))
+    shares = named.where(~F.col("holds") & F.col("origin").isNotNull()).groupBy("conv_id", "turn", "passage", "origin").agg(
+        F.sum("part").alias("share")
+    ).groupBy("conv_id", "turn", "passage").agg(F.max(F.struct("share", "origin")).alias("best"))
+    of_passage = ["conv_id", "turn", "passage"]
+    return passages.join(shares, of_passage, "left").select(
+        *of_passage, "level", F.when(F.col("best.share") >= LEAST_SHARE * F.col("chars"), F.col("best.origin")).alias("origin")
     )
 
 
@@ -132,11 +148,11 @@ def format_chats(
 ) -> DataFrame:
     """One row per conversation and segment: its messages in reply order without quotes, and the chat text.
 
-    Columns: ``conv_id, thread_segment, turn_segment, n_messages, n_quotes, n_linked``, ``messages``
-    (thread, turn, reply_to, role, content) and ``chat``. A message stands after the one it replies to,
-    threads in the order of their first turn. A conversation of at most ``SEGMENT`` turns is one row; a
-    longer one is cut by the turn of the thread and of the message, so that no row grows without bound
-    and replies still follow.
+    Columns: ``conv_id, segment, n_messages, n_quotes, n_linked``, ``messages`` (thread, turn, reply_to,
+    role, content) and ``chat``. A message stands after the one it replies to, threads in the order of their
+    first turn. A conversation of at most ``SEGMENT`` messages is one row, whatever its turns are numbered; of
+    a longer one each ``SEGMENT`` messages in this order are a row, so that no row grows without bound and
+    replies still follow. A very long message is part of one row, whole.
 
     Repeated rows count once. Messages with a null conversation or turn are left out, a null role is
     ``user``, a null text is empty. A message of quotes only has an empty content and stays. Other columns
@@ -153,16 +169,17 @@ def format_chats(
         "conv_id", "turn", "role", "content", "reply_to", F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
     )
-    segment = lambda c: F.floor(F.col(c) / SEGMENT).alias(f"{c}_segment")
+    order = Window.partitionBy("conv_id").orderBy("thread", "turn", "role", "content")
+    placed = placed.withColumn("segment", F.floor((F.row_number().over(order) - 1) / SEGMENT))
     header = F.replace(F.lit(HEADER), F.lit("{role}"), F.col("role"))
     grouped = placed.withColumn("__said", F.concat(header, "content", F.lit(END_OF_TURN))).groupBy(
-        "conv_id", segment("thread"), segment("turn")
+        "conv_id", "segment"
     ).agg(
         F.count(F.lit(1)).alias("n_messages"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"),
         F.array_sort(F.collect_list(F.struct("thread", "turn", "role", "content", "reply_to", "__said"))).alias("m"),
     )
     return grouped.select(
-        F.col("conv_id").alias(conv_id), "thread_segment", "turn_segment", "n_messages", "n_quotes", "n_linked",
+        F.col("conv_id").alias(conv_id), "segment", "n_messages", "n_quotes", "n_linked",
         F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in ("thread", "turn", "reply_to", "role", "content")]))
         .alias("messages"),
         F.array_join(F.transform("m", lambda x: x["__said"]), "").alias("chat"),

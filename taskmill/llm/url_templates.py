@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskmill.llm.common import free_names
 from taskmill.scale import lookup, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +64,9 @@ def templates(shapes: DataFrame) -> DataFrame:
     """Add ``template`` to shapes (host, segments, n, bad, good), one level of the tree after the other.
 
     At each place a segment becomes ``*`` if the place has many children that are each seen seldom, or
-    if its labelled pages are not significantly worse or better than those of the place as a whole: all
-    such branches are one from there on. Every branch is compared with its parent, never with all others.
+    if it has labelled pages and these are not significantly worse or better than those of the place as a
+    whole: all such branches are one from there on. A branch without a label is not alike for that. Every
+    branch is compared with its parent, never with all others. A segment that is ``*`` itself is ``\\*``.
     """
     depth = shapes.agg(F.max(F.size("segments"))).first()[0] or 0
     tree = shapes.withColumn("template", F.lit(""))
@@ -73,21 +75,22 @@ def templates(shapes: DataFrame) -> DataFrame:
         children = here.where("__seg is not null").groupBy("host", "template", "__seg").agg(
             *[F.sum(c).alias(c) for c in ("n", "bad", "good")]
         )
-        places = children.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("__k"),
-            *[F.sum(c).alias(f"__{c}") for c in ("n", "bad", "good")],
-        )
         labelled = F.col("bad") + F.col("good")
         share = (F.col("__bad") + 1.0) / (F.col("__bad") + F.col("__good") + 2.0)
         off = F.col("bad") - labelled * share
         varies = (F.col("__k") >= MIN_CHILDREN) & (F.col("__n") < SELDOM * F.col("__k"))
-        alike = off * off <= DEVIATIONS * DEVIATIONS * labelled * share * (1.0 - share)
-        chosen = children.join(places, ["host", "template"]).select(
+        alike = (labelled > 0) & (off * off <= DEVIATIONS * DEVIATIONS * labelled * share * (1.0 - share))
+        literal = F.when(F.col("__seg") == "*", F.lit("\\*")).otherwise(F.col("__seg"))
+        children = stage(children, "children")
+        places = stage(children.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("__k"), *[F.sum(c).alias(f"__{c}") for c in ("n", "bad", "good")],
+        ), "places")
+        chosen = lookup(children, places, ["host", "template"], "inner").select(
             "host", "template", "__seg",
-            F.when(varies | ((F.col("__k") > 1) & alike), F.lit("*")).otherwise(F.col("__seg")).alias("__to"),
+            F.when(varies | ((F.col("__k") > 1) & alike), F.lit("*")).otherwise(literal).alias("__to"),
         )
         tree = stage(
-            here.join(chosen, ["host", "template", "__seg"], "left").withColumn(
+            lookup(here, stage(chosen, "chosen"), ["host", "template", "__seg"]).withColumn(
                 "template",
                 F.when(F.col("__seg").isNull(), F.col("template")).otherwise(
                     F.concat("template", F.lit("/"), "__to")
@@ -123,20 +126,23 @@ def filter_urls(
     A page with a rule gets its verdict. All others are judged by the template of their path: it is
     blocked from a smoothed share of bad labelled pages of ``REJECT`` on. Labels come from ``bad`` (a
     boolean column, null where unknown) or else from the rules' own verdicts. Null urls and urls without
-    ``://`` have an empty host and path and are a template of their own. Repeated rows are judged each
-    for itself; an empty table gives an empty result; old columns of the new names are replaced.
+    ``://`` have an empty host and path and are a template of their own. Of a path with more than ``DEPTH``
+    segments those from there on are one segment of the template; host and path are given whole, however
+    long. A share of exactly ``REJECT`` blocks; of rules of one length that fit, blocking wins. Repeated
+    rows are judged each for itself; an empty table gives an empty result; old columns of the new names
+    are replaced.
     """
     new = ("host", "path", "rule", "template", "bad_share", "verdict")
-    columns = [c for c in pages.columns if c not in new]
-    parsed = pages.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))})
-    rule = matched_rule(F.col("__host"), F.col("__path"), rules)
-    parsed = parsed.withColumn("__rule", rule)
-    label = bad if bad is not None else F.col("__rule.verdict") == "block"
-    parsed = parsed.withColumns({"__segments": _segments(F.col("__path")), "__bad": label})
+    columns = [F.col(f"`{c}`") for c in pages.columns if c not in new]
+    host, path, rule, segments, marked = free_names(pages, "host", "path", "rule", "segments", "bad")
+    parsed = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
+    parsed = parsed.withColumn(rule, matched_rule(F.col(host), F.col(path), rules))
+    label = bad if bad is not None else F.col(f"{rule}.verdict") == "block"
+    parsed = parsed.withColumns({segments: _segments(F.col(path)), marked: label})
     shapes = stage(
-        parsed.groupBy(F.col("__host").alias("host"), F.col("__segments").alias("segments")).agg(
+        parsed.groupBy(F.col(host).alias("host"), F.col(segments).alias("segments")).agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("__bad")).alias("bad"), F.count_if(~F.col("__bad")).alias("good"),
+            F.count_if(F.col(marked)).alias("bad"), F.count_if(~F.col(marked)).alias("good"),
         ),
         "shapes",
     )
@@ -145,13 +151,13 @@ def filter_urls(
     found = lookup(
         tree.select("host", "segments", "template"), stage(judged_templates(tree), "shares"), ["host", "template"]
     )
-    found = stage(found.select(
-        F.col("host").alias("__host"), F.col("segments").alias("__segments"), "template", "bad_share"
-    ), "judged")
-    verdict = F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow")
-    return lookup(parsed.select(*columns, "__host", "__path", "__rule", "__segments"), found,
-                  ["__host", "__segments"]).select(
-        *columns, F.col("__host").alias("host"), F.col("__path").alias("path"),
-        F.col("__rule.rule").alias("rule"), "template", "bad_share",
-        F.coalesce(F.col("__rule.verdict"), verdict).alias("verdict"),
+    judged_template, judged_share = free_names(parsed, "template", "share")
+    found = stage(found.select("host", "segments", "template", "bad_share"), "judged").toDF(
+        host, segments, judged_template, judged_share
+    )
+    verdict = F.when(F.col(judged_share) >= REJECT, "block").otherwise("allow")
+    return lookup(parsed.select(*columns, host, path, rule, segments), found, [host, segments]).select(
+        *columns, F.col(host).alias("host"), F.col(path).alias("path"), F.col(f"{rule}.rule").alias("rule"),
+        F.col(judged_template).alias("template"), F.col(judged_share).alias("bad_share"),
+        F.coalesce(F.col(f"{rule}.verdict"), verdict).alias("verdict"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taskmill.llm.common import text_bytes
 from taskmill.llm.url_templates import host_of, path_of
-from taskmill.scale import lookup
+from taskmill.scale import lookup, stage
 
 # Equal payloads below this size are stored each; the others once, with revisits.
 MIN_SHARED = 100
@@ -61,7 +61,9 @@ def write_warc(
 
     Of pages with equal payloads of at least ``MIN_SHARED`` bytes those with the smallest id are
     responses, the others revisits without a payload (a null id counts as the largest). A null payload
-    is empty, a null url is left out, line breaks in a url become spaces.
+    is empty, a null url is left out, line breaks in a url become spaces. Pages that repeat, ids included,
+    are records each, with one record id; a very long payload is one record. An empty table makes archives
+    without records; other columns are not read, whatever their names.
     """
     rows = with_first_holders(pages.select(page_id, url, payload), page_id, F.col(payload))
     one, first = F.col(page_id), F.col("__first")
@@ -212,9 +214,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def with_referred(captures: DataFrame, name: str) -> DataFrame:
     """Add to every revisit the metadata field ``name`` of the response it refers to, as ``referred``."""
-    of = captures.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(
-        F.min(F.element_at("metadata.fields", F.lit(name))).alias("referred")
-    ).withColumnRenamed("refers_to", "__of")
-    # Responses refer to themselves here, so that their null keys do not meet in one task.
-    joined = captures.join(of, F.coalesce("refers_to", "record_id") == F.col("__of"), "left")
-    return joined.select(*captures.columns, F.when(F.col("refers_to").isNotNull(), F.col("referred")).alias("referred"))
+    value = F.element_at("metadata.fields", F.lit(name)).alias("referred")
+    narrow = stage(captures.select("record_id", "type", "refers_to", value), "references")
+    wanted = narrow.select(F.col("refers_to").alias("record_id")).where("record_id is not null").distinct()
+    of = narrow.where("type = 'response'").join(wanted, "record_id", "left_semi").groupBy(
+        F.col("record_id").alias("refers_to")
+    ).agg(F.min("referred").alias("referred"))
+    # Revisits of one payload may be a large share of all; captures that refer to nothing do not move.
+    return lookup(captures, stage(of, "referred"), ["refers_to"]).select(*captures.columns, "referred")

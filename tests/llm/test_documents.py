@@ -213,3 +213,39 @@ def test_compression_quality_without_labels(spark):
 
 def test_word_rules():
     assert words("a b c\x0bd") == ["a b", "c", "d"] and folded("A-b É") == ["a", "b", "É"] and sha("") .startswith("e3b0")
+
+
+def test_quality_keeps_the_columns_of_the_user(spark):
+    docs = spark.createDataFrame(
+        [(i, prose(30, i), "en", "s", 1, 2, 3, 4) for i in range(5)],
+        "doc_id long, text string, lang string, source string, __limits int, __lang int, __counted int, __lined int",
+    )
+    got = apply_quality_rules(docs).collect()
+    assert {(r["__limits"], r["__lang"], r["__counted"], r["__lined"]) for r in got} == {(1, 2, 3, 4)} and len(got) == 5
+
+
+def test_cutoffs_move_smoothly_with_the_size_of_a_group(spark):
+    """A group of 99 and one of 101 documents that are spread alike have nearly the same cutoffs."""
+    from taskmill.llm.quality_rules import cutoffs, features, shrunk, sketch
+
+    rows = [(n, prose(30, i) + " #" * (i % 4), "en", f"s{n}") for n in (99, 101) for i in range(n)]
+    rows += [(0, prose(30, i) + " #" * 6, "fr", "other") for i in range(300)]
+    counted = features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).drop("text")
+    named = counted.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    sketches = sketch(named, ("__lang", "__source"))
+    tables = [cutoffs(sketches, by) for by in (("__lang", "__source"), ("__lang",), ())]
+    got = {r["__source"]: r.limits["symbols"]["high"] for r in shrunk(*tables).collect()}
+    own = {r["__source"]: r.high for r in tables[0].where("rule = 'symbols'").collect()}
+    assert abs(got["s99"] - got["s101"]) < 0.02
+    assert own["s99"] < got["s99"] and abs(got["other"] - own["other"]) < abs(got["s99"] - own["s99"])
+
+
+def test_repeats_and_ids_keep_the_columns_of_the_user(spark):
+    from taskmill.llm.sentencepiece_lattice import encode, make_pieces
+
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7)], "doc_id long, text string, __chunk int, __id int, __text int")
+    row = remove_repeats(docs).first()
+    assert (row["__chunk"], row["__id"], row["__text"], row.kept_text) == (5, 6, 7, "a b")
+    pieces = make_pieces("bpe", [("\u2581", -1.0), ("a", -2.0), ("b", -3.0)])
+    row = encode(docs, pieces).first()
+    assert (row["__text"], row.text, row.n_ids) == (7, "a b", 4)

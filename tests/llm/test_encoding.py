@@ -143,3 +143,61 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "near_dedup", "substring_dedup", "benchmark_decontamination", "sentencepiece"]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, __row int, score string, n_words int"
+
+
+def stage_rows(spark, stage, rows, sf_dir="", ddl=DOCUMENTS):
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), k, "kept", 3) for k, (i, t) in enumerate(rows)], ddl)
+    got = stage(spark, docs.repartition(3), sf_dir)
+    assert got.columns == docs.columns
+    return sorted((r["__row"] for r in got.collect()))
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def test_near_copies_go_but_texts_that_share_an_id_stay(spark):
+    rows = [(1, prose(1)), (1, prose(2)), (2, prose(1)), (None, prose(1)), (None, prose(3)), (None, prose(3)),
+            (7, prose(4)), (7, prose(4)), (8, None), (8, ""), (None, None), (0, prose(2) + " one")]
+    # Of three copies of the first text the one with id 1 stays, of the second and its near copy that with id 0.
+    assert stage_rows(spark, corpus_pipeline.near_dedup, rows) in ([0, 4, 6, 8, 9, 10, 11], [0, 4, 7, 8, 9, 10, 11],
+                                                                   [0, 5, 6, 8, 9, 10, 11], [0, 5, 7, 8, 9, 10, 11])
+
+
+def test_contaminated_rows_without_id_go(spark, tmp_path):
+    spark.createDataFrame([(1, prose(9, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, prose(9, 30)), (None, prose(5)), (3, "x " + prose(9, 30)), (3, prose(6)), (None, None), (4, "")]
+    assert stage_rows(spark, corpus_pipeline.benchmark_decontamination, rows, str(tmp_path)) == [1, 3, 4, 5]
+
+
+def test_repeats_go_from_texts_and_the_rest_stays_as_it_is(spark):
+    shared = prose(11, 30)
+    rows = [(1, f"{shared}  left \n as"), (2, f"it  {shared}\n is"), (2, shared), (None, shared), (5, " a  b\n"), (6, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), k, "kept", 3) for k, (i, t) in enumerate(rows)], DOCUMENTS)
+    got = {r["__row"]: (r.text, r.n_chars, r.n_words) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()}
+    assert got == {0: (rows[0][1], len(rows[0][1]), 3), 1: ("it is", 5, 3), 4: (" a  b\n", 6, 3), 5: (None, 0, 3), 6: ("", 0, 3)}
+
+
+def test_language_stage_keeps_columns_of_the_same_names(spark):
+    rows = [(i, prose(i)) for i in range(4)] + [(9, None), (9, "123 456")]
+    ddl = DOCUMENTS.replace("n_words int", "lang_pred int")
+    docs = spark.createDataFrame([(i, t, None if k else "xx", "s", 0, k, "kept", 3) for k, (i, t) in enumerate(rows)], ddl)
+    got = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert {(r["__row"], r.lang, r.score, r.lang_pred) for r in got} == {(k, "xx", "kept", 3) for k in range(4)}
+
+
+def test_nothing_is_left_in_the_shared_folder_but_the_stages(spark, tmp_path):
+    from pathlib import Path
+
+    from taskmill.scale import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    sf = "/root/testdata/sf0.001"
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    made = [p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before]
+    assert sorted(made) == sorted(f"stage-{name}" for name, _ in corpus_pipeline.STAGES)

@@ -5,6 +5,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from taskmill.llm.quotations import format_chats
 from taskmill.llm.url_templates import RULES, filter_urls
@@ -143,7 +144,7 @@ def test_quotes_are_linked_and_left_out(spark):
 def test_long_conversations_are_cut_and_stay_in_order(spark):
     rows = [(7, i, "user", f"line {i}" if i % 3 else f"> line {i - 1}\nanswer {i}") for i in range(1, 2500)]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = sorted(format_chats(docs).collect(), key=lambda r: (r.thread_segment, r.turn_segment))
+    parts = sorted(format_chats(docs).collect(), key=lambda r: r.segment)
     assert sum(r.n_messages for r in parts) == 2499 and len(parts) > 2
     seen = set()
     for r in parts:
@@ -160,3 +161,51 @@ def test_a_chain_of_replies_is_one_thread(spark):
 
 def test_no_messages(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_segments_go_by_the_number_of_messages(spark):
+    rows = [(1, 1000 + i, "user", f"m{i}") for i in range(100)] + [(2, 1_700_000_000 + 3600 * i, "user", f"m{i}") for i in range(10)]
+    got = chats(spark, rows)
+    assert {c: r.n_messages for c, r in got.items()} == {1: 100, 2: 10}
+    assert format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == 2
+
+
+def test_a_passage_goes_to_the_message_with_most_of_it(spark):
+    rows = [
+        (1, 0, "user", "Thanks.\nhello"), (1, 1, "user", "Thanks.\nA rather long line that only this one has\nanother"),
+        (1, 2, "user", "Thanks."), (1, 3, "user", "> Thanks.\n> A rather long line that only this one has\nsure"),
+        (1, 4, "user", "> Thanks.\nwelcome"), (1, 5, "user", "> Thanks.\n> words that nobody wrote, many more than the others\nhm"),
+        (1, 6, "user", "> A rather   long line that\n> only this one has\nreflowed"), (1, 7, "user", "x" * 200_000 + "\n> hello"),
+    ]
+    got = {m.turn: m.reply_to for m in chats(spark, rows)[1].messages}
+    assert got == {0: None, 1: None, 2: None, 3: 1, 4: 2, 5: None, 6: 1, 7: 0}
+
+
+def test_urls_keep_the_columns_of_the_user(spark):
+    rows = [(1, "https://a.example.com/x/*/y", "h", "p", "r", "s", "b"), (2, None, "h", "p", "r", "s", "b"), (3, "x://h/" + "a/" * 60_000, "h", "p", "r", "s", "b")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, __host string, __path string, __rule string, __segments string, __bad string")
+    got = filter_urls(docs).collect()
+    assert {(r["__host"], r["__path"], r["__rule"], r["__segments"], r["__bad"]) for r in got} == {("h", "p", "r", "s", "b")}
+    assert {r.page_id: len(r.path) for r in got}[3] == 120_001
+
+
+def test_branches_without_labels_stay_apart(spark):
+    rows = [(i, f"https://site.net/{['login', 'blog'][i % 2]}/{'abc'[i % 3]}") for i in range(12)]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.template for r in got} == {f"/{a}/{b}" for a in ("login", "blog") for b in "abc"}
+    bad = [(i, f"https://site.net/{['spam', 'good'][i % 2]}/{i % 3}/x", i % 2 == 0 if i < 60 else None) for i in range(80)]
+    frame = spark.createDataFrame(bad, "page_id long, url string, label boolean")
+    got = filter_urls(frame, bad=F.col("label")).collect()
+    assert {(r.template.split("/")[1], r.verdict) for r in got} == {("spam", "block"), ("good", "allow")}
+
+
+def test_captures_of_pages_without_id(spark, tmp_path):
+    from taskmill.llm.queries import op6_warc
+
+    html = "x" * 200
+    rows = [(None, "http://a/", html), (3, "http://b/", html), (None, None, None), (7, "http://c/", html), (None, "http://a/", html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in op6_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([
+        (None, 200, "revisit", 3), (None, 200, "revisit", 3), (3, 200, "response", None), (7, 200, "revisit", 3), (None, 0, "response", None)
+    ], key=str)
