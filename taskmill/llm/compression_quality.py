@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,13 +13,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taskmill.llm.common import mixed
+from taskmill.llm.common import mixed, release, released
 from taskmill.scale import lookup, settle
 
 # The model is fitted on at most this many labelled rows of each class, half for the dictionaries,
 # half for the calibration; which rows these are follows from a hash of the id alone.
 FIT_ROWS = 4000
+# A dictionary holds blocks of the whole fitted texts, those with the smallest hashes, up to this size and
+# number. Both dictionaries are cut to the size of the smaller one, so that neither knows more.
 DICTIONARY_BYTES = 512 * 1024
+DICTIONARY_BLOCKS = 8192
 # Texts are compressed in blocks of this size, so that the dictionaries count in long texts too.
 BLOCK_BYTES = 1024
 LEVEL = 3
@@ -47,18 +50,21 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, **plain)
 
 
-def size_differences(texts: Iterator[bytes | None], good: bytes, bad: bytes) -> Iterator[tuple[float, int]]:
-    """(bytes saved by the good dictionary over the bad one, per byte of text; bytes of text)."""
+def size_differences(texts: Iterable[bytes | None], good: bytes, bad: bytes) -> Iterator[float]:
+    """The bytes that the good dictionary saves over the bad one, by the square root of the bytes of a text.
+
+    What chance adds up to grows with the root of the length, so this is a difference in units of its own
+    noise: short and long texts can be measured by one scale.
+    """
     by_good, by_bad = _compressor(good), _compressor(bad)
     for text in texts:
         text = text or b""
         saved = sum(len(by_bad.compress(b)) - len(by_good.compress(b)) for b in _blocks(text))
-        yield saved / max(1, len(text)), len(text)
+        yield saved / max(1.0, len(text)) ** 0.5
 
 
-def _inputs(differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    x, size = 10 * differences, np.log(np.maximum(1, sizes)) - 6
-    return np.stack([np.ones(len(x)), x, size, x * size], axis=1)
+def _inputs(differences: np.ndarray) -> np.ndarray:
+    return np.stack([np.ones(len(differences)), differences], axis=1)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -85,8 +91,10 @@ def fit(
 ) -> CompressionModel:
     """Fit on labelled documents: label 1 is good, 0 bad, other labels and null ids are left out.
 
-    Of each class the ``fit_rows`` rows with the smallest hash of the id are used. A class that has no
-    rows gives an empty dictionary; without any labels every score is one half.
+    Of each class the ``fit_rows`` rows with the smallest hash of the id are used, whole: half of them for
+    the dictionaries (``DICTIONARY_BYTES``), half for the calibration. If a class has no rows, both
+    dictionaries are empty and every score is the share of good labels; without any labels it is one half.
+    Rows that repeat a label count once, documents that share an id each.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")
@@ -104,69 +112,64 @@ def fit(
         "inner", small=True,
     )
 
-    def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("label", pa.int32()), ("key", pa.int64()), ("block", pa.binary())])
+
+    def all_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for label_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks = _blocks(data or b"")
+            for label_, data in zip(batch.column(0), batch.column(1)):
+                blocks = _blocks(data.as_py() or b"")
                 if blocks:
-                    keys = mixed(pd.util.hash_array(np.array(blocks + [b""], dtype=object), categorize=False))[:-1]
-                    best = int(np.argmin(keys))
-                    out.append({"label": label_, "key": int(keys[best] >> np.uint64(1)), "block": blocks[best]})
-            yield pa.RecordBatch.from_pylist(
-                out, pa.schema([("label", pa.int32()), ("key", pa.int64()), ("block", pa.binary())])
-            )
-
-    blocks = texts.where("__part = 0").select("__label", "__text").mapInArrow(
-        one_block, "label int, key bigint, block binary"
-    ).collect()
-    dictionary = {}
-    for value in (0, 1):
-        chosen = sorted((r["key"], bytes(r["block"])) for r in blocks if r["label"] == value)
-        dictionary[value] = b"".join(b for _, b in chosen)[:DICTIONARY_BYTES]
+                    keys = mixed(pd.util.hash_array(np.array([*blocks, b""], dtype=object), categorize=False))[:-1]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([label_.as_py()] * len(blocks), pa.int32()), pa.array((keys >> np.uint64(1)).astype(np.int64)),
+                        pa.array(blocks, pa.binary()),
+                    ], schema=schema)
+
+    blocks = settle(texts.where("__part = 0").select("__label", "__text").mapInArrow(
+        released(all_blocks), "label int, key bigint, block binary"
+    ).dropDuplicates(["label", "key"]))
+    known_blocks = [
+        b"".join(bytes(r["block"]) for r in blocks.where(F.col("label") == value).orderBy("key").limit(DICTIONARY_BLOCKS).collect())
+        for value in (0, 1)
+    ]
+    size = min(DICTIONARY_BYTES, *map(len, known_blocks))
+    bad, good = (x[:size] for x in known_blocks)
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(size_differences(batch.column(1).to_pylist(), dictionary[1], dictionary[0]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())],
-                names=["label", "difference", "size"],
-            )
+            found = list(size_differences((t.as_py() for t in batch.column(1)), good, bad))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["label", "difference"])
 
     rows = texts.where("__part = 1").select("__label", "__text").mapInArrow(
-        differences, "label int, difference double, size bigint"
+        released(differences), "label int, difference double"
     ).collect()
     if not rows:
-        return CompressionModel(dictionary[1], dictionary[0], (0.0, 0.0, 0.0, 0.0))
-    good = np.array([r["label"] for r in rows], float)
+        return CompressionModel(good, bad, (0.0, 0.0))
+    label_ = np.array([r["label"] for r in rows], float)
     # Classes count as often as they do among all labels, whatever share of each was drawn.
-    weight = np.where(good == 1, totals.get(1, 0) / max(1, good.sum()), totals.get(0, 0) / max(1, (1 - good).sum()))
+    weight = np.where(label_ == 1, totals.get(1, 0) / max(1, label_.sum()), totals.get(0, 0) / max(1, (1 - label_).sum()))
     weight = weight * len(rows) / weight.sum()
-    inputs = _inputs(np.array([r["difference"] for r in rows]), np.array([r["size"] for r in rows]))
-    return CompressionModel(dictionary[1], dictionary[0], _calibrate(inputs, good, weight))
+    return CompressionModel(good, bad, _calibrate(_inputs(np.array([r["difference"] for r in rows])), label_, weight))
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text", score: str = "score") -> DataFrame:
-    """Add the probability that a document is good, from its whole text.
+    """Add the probability that a document is good, from the size difference of its whole text alone.
 
-    Null and empty texts get the score of an empty text. Rows stay as they are, one for one; an old
-    column of the name is replaced.
+    Null and empty texts have a difference of 0 and its score. A text of any length is compressed block by
+    block, to the end. Equal texts have equal scores; rows stay as they are, one for one; an old column
+    of the name is replaced; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = sent.value
-        compress = _compressor(fitted.good), _compressor(fitted.bad)
-        for texts in batches:
-            saved, sizes = [], []
-            for data in texts:
-                blocks = _blocks(data or b"")
-                saved.append(sum(len(compress[1].compress(b)) - len(compress[0].compress(b)) for b in blocks))
-                sizes.append(len(data or b""))
-            sizes = np.array(sizes, float)
-            inputs = _inputs(np.array(saved, float) / np.maximum(1, sizes), sizes)
-            yield pd.Series(_logistic(inputs @ np.array(fitted.weights)))
+        try:
+            for texts in batches:
+                found = np.fromiter(size_differences(texts, fitted.good, fitted.bad), float, len(texts))
+                yield pd.Series(_logistic(_inputs(found) @ np.array(fitted.weights)))
+        finally:
+            release()
 
     return docs.withColumn(score, scores(F.col(text).cast("binary")))
 

@@ -249,3 +249,31 @@ def test_repeats_and_ids_keep_the_columns_of_the_user(spark):
     pieces = make_pieces("bpe", [("\u2581", -1.0), ("a", -2.0), ("b", -3.0)])
     row = encode(docs, pieces).first()
     assert (row["__text"], row.text, row.n_ids) == (7, "a b", 4)
+
+
+def test_size_differences_equal_plain_compression(spark):
+    import zstandard
+
+    good, bad = prose(3000, 1).encode(), prose(3000, 2).encode()
+
+    def size(text, dictionary):
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        frame = zstandard.ZstdCompressor(
+            level=3, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        return sum(len(frame.compress(text[i : i + 1024])) for i in range(0, len(text), 1024))
+
+    texts = [prose(n, n).encode() for n in (0, 1, 30, 5000)] + [good[:900], bad[-900:], None]
+    got = list(compression_quality.size_differences(texts, good, bad))
+    want = [(size(t or b"", bad) - size(t or b"", good)) / max(1, len(t or b"")) ** 0.5 for t in texts]
+    assert got == pytest.approx(want) and got[4] > 5 and got[5] < -5 and got[6] == 0
+
+
+def test_dictionaries_have_equal_sizes_and_come_from_whole_texts(spark):
+    rows = [(i, prose(2000 if i % 2 else 60, i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = compression_quality.fit(docs, labels)
+    assert len(model.good) == len(model.bad) > 5000 and len(model.weights) == 2
+    texts = {t for _, t in rows}
+    assert any(model.good[:500].decode() in t for t in texts)
