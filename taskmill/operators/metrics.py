@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskmill.operators.labels import distinct_labels
-from taskmill.scale import lookup, settle
+from taskmill.scale import at_rest, lookup, settle, stage
 from taskmill.schema import DATASET_KEY
 
 # The parts of a dataset name that decide its metrics, case-sensitive.
@@ -71,6 +71,19 @@ def confusion_matrix(
     )
 
 
+def confusion_cells(counts: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:
+    """The confusion matrix as its observed cells, with the sums of their row and column.
+
+    As many rows as pairs of labels occur together, however many labels a dataset has.
+    """
+    by = list(by)
+    counts = counts if at_rest(counts) else settle(counts)
+    of_label = counts.groupBy(*by, "label").agg(F.sum("n").alias("of_label"))
+    of_predicted = counts.groupBy(*by, "predicted").agg(F.sum("n").alias("of_predicted"))
+    cells = lookup(counts, of_label, [*by, "label"], null_safe=True)
+    return lookup(cells, of_predicted, [*by, "predicted"], null_safe=True)
+
+
 def class_counts(counts: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:
     """True, predicted and correct counts per class, in one aggregation of the confusion counts."""
     n, zero = F.col("n"), F.lit(0).cast("bigint")
@@ -142,15 +155,18 @@ def binarize(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame
     """Reduce the label sets of a row to the classes of its dataset.
 
     Classes are the labels of the true sets; a predicted label outside them is dropped. The
-    rows stay sparse: two label arrays instead of one column per class.
+    rows stay sparse: two label arrays instead of one column per class. Only predicted labels that are not
+    true in their own row are looked up, one by one, and only rows with unknown ones are changed.
     """
     by = list(by)
-    exploded = df.select(*by, F.explode("output").alias("output"))
-    classes = settle(
-        distinct_labels(exploded, by).groupBy(*by).agg(F.collect_list("label").alias("__classes"))
-    )
-    rows = lookup(df, classes, by)
-    return rows.withColumn("response", F.array_intersect("response", "__classes")).drop("__classes")
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "labels")
+    classes = settle(distinct_labels(rows.select(*by, F.explode("output").alias("output")), by))
+    others = rows.select(*by, "__row", F.explode(F.array_except("response", "output")).alias("label"))
+    unknown = lookup(others, classes, [*by, "label"], "left_anti", null_safe=True)
+    of_row = unknown.groupBy("__row").agg(F.collect_set("label").alias("__unknown"))
+    none = F.array().cast("array<string>")
+    response = F.array_except("response", F.coalesce("__unknown", none))
+    return lookup(rows, of_row, ["__row"]).withColumn("response", response).select(*df.columns)
 
 
 def multi_label_counts(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:

@@ -116,6 +116,14 @@ def fits(table: DataFrame, limit: int | None = None) -> bool:
     return (table.agg(F.sum(_row_bytes(table))).first()[0] or 0) <= limit
 
 
+def at_rest(df: DataFrame) -> bool:
+    """Whether a table is only read or projected, so that it can be used twice without being computed twice."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias", "View"):
+        node = node.children().apply(0)
+    return node.children().isEmpty()
+
+
 def heavy_keys(rows: DataFrame, on: Sequence[str], share: float) -> DataFrame:
     """The hashes of the keys that hold more than this share of the rows, as ``__heavy``; few, whatever the rows.
 
@@ -143,14 +151,16 @@ def lookup(
 ) -> DataFrame:
     """Join rows to a table with at most one row per key.
 
-    The table is measured, unless the caller knows from a larger one that it is ``small``: up to ``limit``
-    bytes it is broadcast and the rows do not move. Beyond that a sketch finds the heavy keys, those with
+    The table is settled if it is not at rest, and measured, unless the caller knows from a larger one that
+    it is ``small``: up to ``limit`` bytes it is broadcast and the rows do not move. Beyond that a sketch finds the heavy keys, those with
     more than ``share`` of the rows (a quarter of an even task's, unless given). Their rows, and those
     whose key is null and matches nothing, stay where they are and meet the few rows of the table that have
     a heavy key; all others are joined by a shuffle, in which no key is large.
     """
     on = list(on)
     keys = {name: f"__key_{name}" for name in on}
+    if small is None and not at_rest(table):
+        table = settle(table)
     table = table.withColumnsRenamed(keys)
 
     def equal(name: str) -> Column:

@@ -233,6 +233,28 @@ def test_evaluate_covers_every_dataset_and_documents_agree(spark):
     assert {"a", "b", "micro avg", "macro avg", "weighted avg", "samples avg"} < set(documents["Hostility 2"])
 
 
+def test_cells_are_bounded_by_what_is_observed(spark):
+    counts = spark.range(10_000).select(
+        F.lit("en").alias("lang"), F.lit("d").alias("dataset"), F.col("id").cast("string").alias("label"),
+        F.when(F.col("id") % 2 == 0, "0").alias("predicted"), F.lit(3).cast("bigint").alias("n"),
+    )
+    got = metrics.confusion_cells(counts).collect()
+    assert len(got) == 10_000 and {r.of_label for r in got} == {3}
+    assert {(r.predicted, r.of_predicted) for r in got} == {("0", 15_000), (None, 15_000)}
+
+
+def test_binarizing_looks_labels_up_one_by_one(spark):
+    rows = [("en", "d", ["a", "b"], ["b", "x", "a"]), ("en", "d", ["c"], ["a", "c", "y", "x"]), ("en", "e", ["x"], ["x", "a"]),
+            (None, "d", ["x"], ["a", "x"]), ("en", "d", ["a"], [])]
+    df = spark.createDataFrame(rows, "lang string, dataset string, output array<string>, response array<string>")
+    got = metrics.binarize(df)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert [tuple(r) for r in sorted(got.collect(), key=str)] == sorted([
+        ("en", "d", ["a", "b"], ["b", "a"]), ("en", "d", ["c"], ["a", "c"]), ("en", "e", ["x"], ["x"]), (None, "d", ["x"], ["x"]),
+        ("en", "d", ["a"], []),
+    ], key=str)
+
+
 def test_an_evaluation_reads_its_input_once(spark):
     """Rows are counted as they leave the input; whatever comes after reads thin rows."""
     rows = [(str(i), "en", "plain", "a" if i % 2 else "b", "a" if i % 3 else "junk") for i in range(40)]

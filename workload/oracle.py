@@ -403,6 +403,11 @@ SQL: dict[str, str] = {
       from codes a join codes b on a.lang = b.lang and a.dataset = b.dataset
       left join repaired r on r.lang = a.lang and r.dataset = a.dataset and r.output = a.label and r.response = b.label
       group by all""",
+    "confusion_cells": """with a as (select 'en' as lang, l_returnflag as dataset, l_partkey::varchar as label,
+        case when l_linenumber = 7 then 'none' else (l_partkey + l_linenumber % 2)::varchar end as predicted from lineitem),
+      c as (select lang, dataset, label, predicted, count(*) as n from a group by all)
+      select *, sum(n) over (partition by lang, dataset, label)::bigint as of_label,
+        sum(n) over (partition by lang, dataset, predicted)::bigint as of_predicted from c""",
     "confusion_matrix_nested": f"""{SINGLE},
       cells as (select a.lang, a.dataset, a.label, b.label as predicted, count(r.id) as n
         from codes a join codes b on a.lang = b.lang and a.dataset = b.dataset

@@ -64,6 +64,18 @@ def confusion_matrix(spark, sf):
     return metrics.confusion_matrix(_single_counts(spark, sf))
 
 
+@query
+def confusion_cells(spark, sf):
+    """Thousands of labels: parts, answered by themselves, by the next one, or by one for all."""
+    rows = table(spark, sf, "lineitem").select(
+        F.lit("en").alias("lang"), F.col("l_returnflag").alias("dataset"), F.col("l_partkey").cast("string").alias("output"),
+        F.when(F.col("l_linenumber") == 7, "none").otherwise(
+            (F.col("l_partkey") + F.col("l_linenumber") % 2).cast("string")
+        ).alias("response"),
+    )
+    return metrics.confusion_cells(metrics.confusion_counts(rows))
+
+
 @query
 def confusion_matrix_nested(spark, sf):
     nested = metrics.confusion_matrix(_single_counts(spark, sf), nested=True)
