@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from taskmill.llm.common import released, text_bytes, window_hashes, word_hashes
+from taskmill.llm.common import SECOND, mixed, released, slices, window_hashes, word_hashes
 from taskmill.scale import settle, stage
 
 WINDOW = 13
 SHINGLE = 5
-# Items are taken in blocks of about this many bytes of text, which bounds what a task gets sent.
-BLOCK_BYTES = 16 * 1024 * 1024
+# Up to so many distinct shingles of the items are sent to every task as they are; of more a Bloom filter is
+# sent, of sixteen bits a shingle up to this size. It lets some others through, which the joins drop.
+EXACT_SHINGLES = 1 << 21
+FILTER_BITS = 1 << 30
+PROBES = 3
+# Python works on about so many bytes of text at a time.
+BYTES_AT_ONCE = 1 << 20
 
 # Upper-case letters become lower-case, other ASCII characters that are no letter or digit a space.
 _FOLD = bytes(
@@ -29,85 +34,135 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+def shingle_hashes(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the words i to i + size - 1, for every i; together they name a shingle."""
+    hashes = word_hashes(words)
+    return window_hashes(hashes, size), window_hashes(mixed(hashes ^ np.uint64(SECOND)), size, SECOND)
+
+
+def _names(first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """Pairs of hashes as sixteen bytes each."""
+    data = np.stack([first, second], axis=1).astype("<u8")
+    offsets = np.arange(0, 16 * len(first) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Every item as (item_id, n, grams, words): the hashes of its shingles of five words in order.
+    """Every item as (item, n, grams): its number of words and its shingles of five words in order.
 
     An item of fewer words is one shingle; an item without words is left out.
     """
-    schema = "item string, n int, grams array<bigint>, words array<binary>"
+    schema = pa.schema([("item", pa.string()), ("n", pa.int32()), ("grams", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = folded_words(value)
+            for item, value in zip(batch.column(0), batch.column(1)):
+                words = folded_words(value.as_py())
                 if words:
-                    grams = window_hashes(word_hashes(words), min(SHINGLE, len(words)))
-                    rows.append({"item": item, "n": len(words), "grams": grams.view(np.int64), "words": words})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([
-                    ("item", pa.string()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())),
-                    ("words", pa.list_(pa.binary())),
-                ]))
+                    grams = _names(*shingle_hashes(words, min(SHINGLE, len(words))))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([item.as_py()], pa.string()), pa.array([len(words)], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), grams),
+                    ], schema=schema)
 
     return items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("binary").alias("text")) \
-        .mapInArrow(run, schema)
+        .mapInArrow(released(run), "item string, n int, grams array<binary>")
+
+
+@dataclass(frozen=True)
+class ShingleFilter:
+    """The shingles of the items by their first hash: all of them ascending, or bits of a Bloom filter."""
+
+    sizes: tuple[int, ...]
+    exact: np.ndarray | None
+    bits: np.ndarray | None
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        if self.exact is not None:
+            if not len(self.exact):
+                return np.zeros(len(hashes), bool)
+            place = np.minimum(np.searchsorted(self.exact, hashes), len(self.exact) - 1)
+            return self.exact[place] == hashes
+        found = np.ones(len(hashes), bool)
+        for probe in range(PROBES):
+            place = _place(hashes, probe, 64 * len(self.bits))
+            found &= (self.bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+        return found
+
+
+def _place(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return mixed(hashes + np.uint64((probe + 1) * SECOND % 2**64)) & np.uint64(bits - 1)
+
+
+def shingle_filter(known: DataFrame, exact_shingles: int = EXACT_SHINGLES, filter_bits: int = FILTER_BITS) -> ShingleFilter:
+    """What tells whether a shingle may be one of the items, of bounded size however many there are."""
+    sizes = tuple(sorted(r[0] for r in known.select(F.least("n", F.lit(SHINGLE))).distinct().collect()))
+    grams = settle(known.select(F.explode("grams").alias("gram")).select(F.substring("gram", 1, 8).alias("hash")).distinct())
+    n = grams.count()
+    if n <= exact_shingles:
+        found = b"".join(bytes(x) for x in grams.toArrow().column(0).to_pylist())
+        return ShingleFilter(sizes, np.sort(np.frombuffer(found, "<u8").astype(np.uint64)), None)
+    bits = 64
+    while bits < min(16 * n, filter_bits):
+        bits *= 2
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8").astype(np.uint64)
+            place = np.concatenate([_place(hashes, probe, bits) for probe in range(PROBES)])
+            word, bit = place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bit.view(np.int64))], names=["word", "bit"])
+
+    words = grams.mapInArrow(released(places), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return ShingleFilter(sizes, None, out)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def matching_shingles(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Per (doc, text) its number of words and the places and hashes of shingles that items have.
-
-    ``items`` is one block, so its words and shingles have a bounded size and go to every task.
-    """
-    known = items.select("n", "grams", "words").toArrow().to_pydict()
-    vocabulary = {w: None for words in known["words"] for w in words}
-    hashes = dict(zip(vocabulary, word_hashes(list(vocabulary)).tolist()))
-    by_size: dict[int, list] = {}
-    for n, grams in zip(known["n"], known["grams"]):
-        by_size.setdefault(min(SHINGLE, int(n)), []).append(np.asarray(grams, np.int64).view(np.uint64))
-    sent = rows.sparkSession.sparkContext.broadcast((hashes, {k: np.unique(np.concatenate(v)) for k, v in by_size.items()}))
+def matching_shingles(rows: DataFrame, wanted: ShingleFilter) -> DataFrame:
+    """Per (doc, text) its number of words and the places and names of shingles that pass the filter."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)
     schema = pa.schema([
         ("doc", to_arrow_type(rows.schema["doc"].dataType)), ("n_words", pa.int64()), ("pos", pa.list_(pa.int32())),
-        ("gram", pa.list_(pa.int64())),
+        ("gram", pa.list_(pa.binary())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shingles = sent.value
-        unknown = 0
-        for batch in batches:
-            counts, places, grams, ends = [], [], [], [0]
-            for value in batch.column(1):
-                words = folded_words(value.as_py())
-                ids = np.array([hashes.get(w, unknown) for w in words], np.uint64)
-                strange = np.concatenate([[0], np.cumsum(ids == unknown)])
-                found = 0
-                for size, known in shingles.items():
-                    starts = np.flatnonzero(strange[size:] == strange[: len(strange) - size]) \
-                        if len(words) >= size else np.empty(0, np.int64)
-                    if len(starts):
-                        gram = window_hashes(ids, size)[starts]
-                        place = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                        keep = known[place] == gram
-                        places.append(starts[keep])
-                        grams.append(gram[keep])
-                        found += int(keep.sum())
-                counts.append(len(words))
-                ends.append(ends[-1] + found)
-            ends = pa.array(ends, pa.int32())
-            pos = np.concatenate(places).astype(np.int32) if places else np.empty(0, np.int32)
-            gram = np.concatenate(grams).view(np.int64) if grams else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()),
-                pa.ListArray.from_arrays(ends, pa.array(pos)), pa.ListArray.from_arrays(ends, pa.array(gram)),
-            ], schema=schema)
+        wanted = sent.value
+        for whole in batches:
+            sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in whole.column(1)]
+            for a, b in slices(sizes, BYTES_AT_ONCE):
+                batch = whole.slice(a, b - a)
+                counts, places, first, second, ends = [], [], [], [], [0]
+                for value in batch.column(1):
+                    words = folded_words(value.as_py())
+                    found = 0
+                    for size in wanted.sizes:
+                        if len(words) < size:
+                            continue
+                        one, two = shingle_hashes(words, size)
+                        at = np.flatnonzero(wanted.passes(one))
+                        places.append(at)
+                        first.append(one[at])
+                        second.append(two[at])
+                        found += len(at)
+                    counts.append(len(words))
+                    ends.append(ends[-1] + found)
+                ends = pa.array(ends, pa.int32())
+                none = [np.empty(0, np.uint64)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array(counts, pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places or none).astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, _names(np.concatenate(first or none), np.concatenate(second or none))),
+                ], schema=schema)
 
     doc_type = rows.schema["doc"].dataType.simpleString()
     return rows.select("doc", F.col("text").cast("binary")).mapInArrow(
-        released(run), f"doc {doc_type}, n_words bigint, pos array<int>, gram array<bigint>"
+        released(run), f"doc {doc_type}, n_words bigint, pos array<int>, gram array<binary>"
     )
 
 
@@ -166,31 +221,25 @@ def decontaminate(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    exact_shingles: int = EXACT_SHINGLES,
+    filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Per document ``doc_id, n_words, n_hit, items`` (sorted ids as strings) and the ``spans`` hit.
 
     Words are runs of letters and digits of ASCII, A-Z lowered, and all other characters. A window is 13
     consecutive words of an item, or a whole shorter item. Null and empty texts have no words and no
     hits; an empty benchmark hits nothing; repeated rows are judged each for itself; null item ids are
-    ignored in ``items`` but their windows still hit. Other columns are not read.
+    ignored in ``items`` but their windows still hit. A very long text is one row and is read to its end.
+    Other columns are not read, whatever their names.
+
+    Texts are read once, however large the benchmark is. Shingles are told apart by 128 bits of two
+    independent hashes of their words, and a window by all the shingles that cover it.
     """
     known = settle(item_shingles(items, item_id, item_text))
-    blocks = max(1, math.ceil(text_bytes(items, item_text) / block_bytes))
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    # Rows get a number when they are written, so that rows with one id stay apart.
-    if blocks == 1:
-        staged = stage(_numbered(matching_shingles(rows, known)), "shingles")
-        base, found = staged.select("row", "doc", "n_words"), occurrences(staged, known)
-    else:
-        texts, found = stage(_numbered(rows), "texts"), None
-        for block in range(blocks):
-            part = known.where(F.pmod(F.xxhash64("grams"), F.lit(blocks)) == block)
-            staged = stage(matching_shingles(texts.select(F.col("row").alias("doc"), "text"), part), "shingles")
-            staged = staged.withColumnRenamed("doc", "row")
-            here = occurrences(staged, part)
-            found = here if found is None else found.unionByName(here)
-        base = texts.select("row", "doc").join(staged.select("row", "n_words"), "row")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    # One pass over the texts. Rows get a number when they are written, so that rows with one id stay apart.
+    staged = stage(_numbered(matching_shingles(rows, shingle_filter(known, exact_shingles, filter_bits))), "shingles")
+    base, found = staged.select("row", "doc", "n_words"), occurrences(staged, known)
 
     by_start = Window.partitionBy("row").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.groupBy("row", "begin").agg(

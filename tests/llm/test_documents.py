@@ -65,13 +65,13 @@ ITEMS = [(1, PASSAGE), (2, "Hello, World"), (3, None), (4, "..."), (5, prose(13,
          (8, "a b c d e f g"), (2, "Hello, World"), (9, "x")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 150])
-def test_decontamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("options", [{}, {"exact_shingles": 3, "filter_bits": 64}, {"exact_shingles": 0}])
+def test_decontamination_equals_brute_force(spark, options):
     docs = ODD + [(20, "Say HELLO world! hello-world"), (21, prose(9, 5) + " " + " ".join(PASSAGE.split()[20:40]) + " 漢字。漢字"),
                   (22, prose(14, 77)), (23, "a b c d e f g a b c d e f g")]
     got = decontaminate(
         frame(spark, [(i, t, 1) for i, t in docs], "doc_id long, text string, row int"),
-        frame(spark, [(i, t, "z") for i, t in ITEMS], "item_id long, text string, items string"), block_bytes=block_bytes,
+        frame(spark, [(i, t, "z") for i, t in ITEMS], "item_id long, text string, items string"), **options,
     )
     rows = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()), key=str)
     assert rows == sorted(contamination(docs, ITEMS), key=str)
@@ -277,3 +277,35 @@ def test_dictionaries_have_equal_sizes_and_come_from_whole_texts(spark):
     assert len(model.good) == len(model.bad) > 5000 and len(model.weights) == 2
     texts = {t for _, t in rows}
     assert any(model.good[:500].decode() in t for t in texts)
+
+
+def test_the_filter_lets_every_wanted_shingle_through(spark):
+    import numpy as np
+
+    from taskmill.llm import decontamination as d
+
+    items = frame(spark, [(i, prose(40, i)) for i in range(200)], "item_id long, text string")
+    known = d.item_shingles(items)
+    exact, bloom = d.shingle_filter(known), d.shingle_filter(known, 10)
+    assert exact.bits is None and bloom.exact is None and exact.sizes == bloom.sizes == (5,)
+    strange = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
+    assert exact.passes(exact.exact).all() and bloom.passes(exact.exact).all()
+    assert not exact.passes(strange).any() and bloom.passes(strange).mean() < 0.03
+    empty = d.shingle_filter(known.limit(0))
+    assert empty.sizes == () and not empty.passes(strange).any()
+
+
+def test_texts_are_read_once_however_many_items(spark):
+    from taskmill.llm import decontamination as d
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = frame(spark, [(i, prose(60, i)) for i in range(50)]).mapInArrow(counted, "doc_id long, text string")
+    items = frame(spark, [(i, prose(30, 40 + i)) for i in range(20)], "item_id long, text string")
+    d.decontaminate(docs, items, exact_shingles=10).collect()
+    assert seen.value == 50
