@@ -102,7 +102,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op10_planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def planted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of quotes planted by rule: a whole message, its first line, or that below a quote of the one before."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("last"))
@@ -131,6 +131,6 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minhash_dedup, op3_sentencepiece, op4_quality_rules, op5_url_filters, op6_warc, op7_decontamination,
-    op8_quality_classifier, op9_substring_dedup, op10_chat_formatting, op10_planted_quotes, op11_centroid_clustering, op12_prefix_trie,
+    op8_quality_classifier, op9_substring_dedup, op10_chat_formatting, planted_quotes, op11_centroid_clustering, op12_prefix_trie,
     op13_token_counts,
 )}
