@@ -63,9 +63,10 @@ class Ledger:
         self.table = "ledger_" + hashlib.md5(place.encode()).hexdigest()
         files = self._files(place)
         files.mkdirs(self._path(place))
+        quoted = place.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"create table if not exists {self.table} (record string, batch string) using parquet "
-            f"clustered by (record) sorted by (record) into {self.buckets} buckets location '{place}'"
+            f"clustered by (record) sorted by (record) into {self.buckets} buckets location '{quoted}'"
         )
         self.spark.catalog.refreshTable(self.table)
 
