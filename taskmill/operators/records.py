@@ -21,12 +21,13 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
 def with_position(df: DataFrame, position: str = "position") -> DataFrame:
     """The place of rows in their input: file, block of the file, and order within; files by name.
 
-    Use it directly after a read, before anything moves rows. Rows from elsewhere are in the order they are read.
+    Use it directly after a read, before anything moves rows. Rows of several tables, or from elsewhere than
+    files, are in the order they are read.
     """
-    place = F.struct(
-        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-    )
+    one = df._jdf.queryExecution().analyzed().collectLeaves().size() == 1
+    file = F.input_file_name() if one else F.lit("")
+    block = F.input_file_block_start() if one else F.lit(-1).cast("bigint")
+    place = F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("place"))
     return df.withColumn(position, place)
 
 
