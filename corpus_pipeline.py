@@ -8,6 +8,8 @@ other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
-def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """The documents whose number is not among these."""
-    return lookup(rows, stage(gone.select(row), "gone"), [row], "left_anti").drop(row)
+def _without(rows: DataFrame, row: str, found: Callable[[], DataFrame]) -> DataFrame:
+    """The documents whose number is not among those found; what finding them left on disk is removed at once."""
+    spark = rows.sparkSession
+    path = scratch(spark, "gone")
+    with cleared(spark):
+        found().select(row).write.parquet(path)
+    return lookup(rows, spark.read.schema(rows.select(row).schema).parquet(path), [row], "left_anti").drop(row)
 
 
 def _packed(docs: DataFrame, *names: str) -> tuple[DataFrame, str]:
@@ -60,10 +66,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents with one id but different texts are different documents.
     """
     rows, row = _numbered(docs)
-    classes = stage(near_duplicates(rows, doc_id=row), "classes")
-    known = classes.join(rows.select(row, F.col("doc_id").alias("id")), row)
-    first = known.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))
-    return _without(rows, row, classes.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti"))
+
+    def copies() -> DataFrame:
+        classes = stage(near_duplicates(rows, doc_id=row), "classes")
+        known = classes.join(rows.select(row, F.col("doc_id").alias("id")), row)
+        first = known.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first"))
+        return classes.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_anti")
+
+    return _without(rows, row, copies)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +88,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which benchmark windows cover five percent of the words or more."""
     rows, row = _numbered(docs)
-    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=row)
-    return _without(rows, row, found.where(contaminated()))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(rows, row, lambda: decontaminate(rows, items, doc_id=row).where(contaminated()))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
