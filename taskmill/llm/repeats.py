@@ -16,7 +16,7 @@ from taskmill.llm.common import (
 
 WINDOW = 13
 # Texts are worked on in chunks of about this many bytes, each small in a task's memory.
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 6 * 1024 * 1024
 # A bucket of hashes gets what texts of about this many bytes have; a chunk answers each bucket with one row.
 BUCKET_BYTES = 16 * 1024 * 1024
 # An anchor hash has 48 bits: a chance hit only adds windows that the full comparison turns down.
