@@ -48,3 +48,22 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
+
+
+def _documents(spark, path, ids):
+    rows = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 2}") for i in ids], "doc_id long, text string, lang string, source string")
+    rows.coalesce(1).write.parquet(f"{path}/documents.parquet")
+    judged = spark.createDataFrame([(i, i % 2, 0) for i in ids if i % 3], "doc_id long, quality int, toxic int")
+    judged.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_object_files_are_not_a_folder_each(spark, tmp_path, monkeypatch):
+    from taskmill.sources import results
+
+    read, given = results.read_results, []
+    monkeypatch.setattr(results, "read_results", lambda spark, path, **more: given.append(path) or read(spark, path, **more))
+    found = QUERIES["result_source_objects"](spark, _documents(spark, tmp_path, range(300))).collect()
+    assert {(r.id, r.state) for r in found} == {(str(i), "good" if i % 3 else "corrupt") for i in range(0, 300, 10)}
+    files = spark.read.text(f"{given[0]}/*", wholetext=True).inputFiles()
+    assert len(files) == 30 and len({f.rsplit("/", 1)[0] for f in files}) == 1

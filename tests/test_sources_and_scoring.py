@@ -265,3 +265,16 @@ def test_the_first_file_by_name_counts(spark, tmp_path):
         read = corpus.read_records(spark, str(tmp_path / pattern), layout)
         first = {r.id: r.input.split()[0][0] + r.input.split()[1] for r in records.first_of_duplicates(read, "position").collect()}
         assert first == {"x": "a0", "y": "a1", "z": "b2", "w": "c0"}
+
+
+def test_results_read_once_outlive_their_files(spark, tmp_path):
+    folder = tmp_path / "exp" / "d s"
+    folder.mkdir(parents=True)
+    for i, text in enumerate(['{"id": "1",\n "response": "a"}', '{"id": "2"', '{"id":"3"}{"id":"4"}', " ", '{"id": "5"}']):
+        (folder / f"{i}.json").write_text(text)
+    twice = [sorted(map(str, part.collect())) for part in results.read_results(spark, str(tmp_path / "exp"))]
+    once = results.read_results(spark, str(tmp_path / "exp"), once=True)
+    for file in folder.iterdir():
+        file.write_text("{}")
+    assert [sorted(map(str, part.collect())) for part in once] == twice
+    assert [len(part) for part in twice] == [2, 3]
