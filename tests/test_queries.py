@@ -67,3 +67,8 @@ def test_object_files_are_not_a_folder_each(spark, tmp_path, monkeypatch):
     assert {(r.id, r.state) for r in found} == {(str(i), "good" if i % 3 else "corrupt") for i in range(0, 300, 10)}
     files = spark.read.text(f"{given[0]}/*", wholetext=True).inputFiles()
     assert len(files) == 30 and len({f.rsplit("/", 1)[0] for f in files}) == 1
+
+
+def test_array_files_grow_in_number(spark, tmp_path):
+    rows = QUERIES["record_source_array"](spark, _documents(spark, tmp_path, range(10000)))
+    assert len(rows.inputFiles()) > 3 and rows.count() == 10000
