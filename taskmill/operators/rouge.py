@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskmill.functions import rouge
+from taskmill.functions.rouge import KEYS
 from taskmill.functions.text import token_lines, tokens
 from taskmill.schema import DATASET_KEY
 
-KEYS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
-
 
 def rouge_scores(
     df: DataFrame,
@@ -22,26 +21,27 @@ def rouge_scores(
 ) -> DataFrame:
     """Add the F-measure (0 to 100) of each key; rows never leave their partition.
 
-    The n-gram keys are built-ins only. The subsequence keys share one Arrow batch call.
+    The n-gram keys by themselves are built-ins only. With a subsequence key all keys share its Arrow batch
+    call, which counts what they need and no more.
     """
     texts = [F.coalesce(F.col(c), F.lit("")) for c in (reference, candidate)]
-    sides = dict(zip(("__ref", "__cand"), map(tokens, texts)))
-    rows = df.withColumns(sides)
-    in_reference, in_candidate = F.size("__ref"), F.size("__cand")
+    sides = ("reference", "candidate")
+    if {"rougeL", "rougeLsum"} & set(keys):
+        rows = df.withColumn("__hits", rouge.hits_of(keys)(*map(token_lines, texts)))
+        sizes = [F.col(f"__hits.{side}") for side in sides]
+        hits = {key: F.col(f"__hits.{key}") for key in KEYS}
+    else:
+        rows = df.withColumns(dict(zip(("__reference", "__candidate"), map(tokens, texts))))
+        sizes = [F.size(f"__{side}") for side in sides]
+        hits = {
+            f"rouge{n}": rouge.shared(*[rouge.ngrams(F.col(f"__{side}"), n) for side in sides]) for n in (1, 2)
+        }
     added = {}
-    for n in (1, 2):
-        if f"rouge{n}" in keys:
-            less = lambda size: F.greatest(size - (n - 1), F.lit(0))
-            hits = rouge.overlap(
-                rouge.ngrams(F.col("__ref"), n), rouge.ngrams(F.col("__cand"), n)
-            )
-            added[f"rouge{n}"] = rouge.f_measure(hits, less(in_reference), less(in_candidate))
-    if "rougeL" in keys or "rougeLsum" in keys:
-        rows = rows.withColumn("__hits", rouge.subsequences(*map(token_lines, texts)))
-        for key, field in (("rougeL", "lcs"), ("rougeLsum", "lcs_sum")):
-            if key in keys:
-                added[key] = rouge.f_measure(F.col(f"__hits.{field}"), in_reference, in_candidate)
-    return rows.withColumns(added).drop("__ref", "__cand", "__hits")
+    for key in KEYS:
+        if key in keys:
+            fewer = 1 if key == "rouge2" else 0
+            added[key] = rouge.f_measure(hits[key], *[F.greatest(size - fewer, F.lit(0)) for size in sizes])
+    return rows.withColumns(added).drop("__hits", "__reference", "__candidate")
 
 
 def rouge_metrics(

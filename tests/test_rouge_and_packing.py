@@ -132,3 +132,54 @@ def test_packing_one_global_order(spark):
     df = spark.range(100).select(F.col("id").alias("position"), F.lit(10).alias("n"))
     last = packing.pack(df, "n", 64, stretch=7).orderBy("position").collect()[-1]
     assert (last.start, last.first_block, last.last_block) == (990, 15, 15)
+
+
+def test_overlap_counts_as_often_as_in_both():
+    draw = random.Random(4)
+    for _ in range(200):
+        a, b = ([draw.choice("abcde") for _ in range(draw.randint(0, 20))] for _ in range(2))
+        assert R.overlap(a, b) == (Counter(a) & Counter(b)).total()
+        assert R.overlap(zip(a, a[1:]), zip(b, b[1:])) == (Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).total()
+
+
+def test_ngrams_by_built_ins_and_by_batches_agree(spark):
+    draw = random.Random(11)
+    text = lambda: " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 60)))
+    pairs = [(str(i), text(), text()) for i in range(300)] + [("one", "a", "a"), ("null", None, "a b")]
+    df = spark.createDataFrame(pairs, "id string, output string, response string")
+    for key in ("rouge1", "rouge2"):
+        alone = rouge.rouge_scores(df, [key])
+        assert "struct" not in alone._jdf.queryExecution().optimizedPlan().toString()
+        beside = rouge.rouge_scores(df, [key, "rougeL"])
+        assert sorted(alone.select("id", key).collect()) == sorted(beside.select("id", key).collect())
+
+
+def test_keys_that_are_not_asked_for_cost_nothing(monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(R, "lcs_sum_hits", never)
+    assert R._hits("a b\nc", "c\na b", False, False, True, False) == (3, 3, 0, 0, 2, 2)
+    monkeypatch.setattr(R, "lcs_length", never)
+    assert R._hits("a b\nc", "c\na b", True, True, False, False) == (3, 3, 3, 1, 0, 0)
+
+
+def test_long_sides_and_repeated_sentences(monkeypatch):
+    draw = random.Random(8)
+    long, short = [[str(draw.randint(0, 40)) for _ in range(n)] for n in (900, 60)]
+    assert R.lcs_length(long, short) == R.lcs_length(short, long) == table(long, short)[-1][-1]
+    calls, traced_once = [], R.lcs_positions
+    monkeypatch.setattr(R, "lcs_positions", lambda *a: calls.append(a) or traced_once(*a))
+    assert R.lcs_sum_hits([["a", "b", "c"]] * 50, [["a", "b"]] * 40) == 80
+    assert len(calls) == 1
+
+
+def test_rows_of_other_kinds_are_passed_over(monkeypatch):
+    import pandas as pd
+
+    seen, counted = [], R._hits
+    monkeypatch.setattr(R, "_hits", lambda *a: seen.append(a) or counted(*a))
+    batch = (pd.Series(["", "a b", "", "c"]), pd.Series(["", "a", "d", ""]))
+    (found,) = R.hits_of(R.KEYS).func(iter([batch]))
+    assert found[["reference", "candidate", "rouge1"]].to_numpy().tolist() == [[0, 0, 0], [2, 1, 1], [0, 1, 0], [1, 0, 0]]
+    assert len(seen) == 3
