@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,22 +107,35 @@ def _anchors_of(buckets: int, anchor: int):
 
 def _split(table: pa.Table, unpacked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of all blobs of a bucket, which blob each is from, and the chunk of every blob."""
-    parts = [unpacked(x.as_py()) for x in table.column("keys")]
-    blob = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
-    return np.concatenate(parts), blob, np.array(table.column("chunk").to_pylist())
+    sizes = pc.binary_length(table.column("keys")).to_numpy() // 8
+    keys, done = np.empty(sizes.sum(), np.uint64), 0
+    for x, size in zip(table.column("keys"), sizes):
+        keys[done : done + size] = unpacked(x.as_py())
+        done += size
+    return keys, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.array(table.column("chunk").to_pylist())
 
 
 def _shared_anchors(key: tuple, table: pa.Table) -> pa.Table:
-    """For each chunk the hashes that a reference block and another document have."""
-    entries, blob, chunks = _split(table, unpack_sorted)
-    order = np.argsort(entries >> np.uint64(2), kind="stable")
-    entries, blob = entries[order], blob[order]
-    hashes = entries >> np.uint64(2)
+    """For each chunk the hashes that a reference block and another document have.
+
+    A bucket is the most that a task holds at once, so what is no longer needed goes at once.
+    """
+    hashes, blob, chunks = _split(table, unpack_sorted)
+    # The marks are the lowest bits: equal hashes come together all the same.
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    blob = blob[order]
+    del order
+    marks = (hashes & np.uint64(3)).astype(np.uint8)
+    hashes >>= np.uint64(2)
     begin = _runs(hashes)
-    counts = np.diff(np.concatenate([begin, [len(hashes)]]))
-    flags = np.bitwise_or.reduceat(entries & np.uint64(3), begin)
-    shared = ((flags & np.uint64(2)) > 0) & ((counts > 1) | ((flags & np.uint64(1)) > 0))
+    flags = np.bitwise_or.reduceat(marks, begin)
+    del marks
+    counts = np.diff(begin, append=len(hashes))
+    del begin
+    shared = ((flags & 2) > 0) & ((counts > 1) | ((flags & 1) > 0))
     keep = np.repeat(shared, counts)
+    del counts
     hashes, blob = hashes[keep], blob[keep]
     order = np.argsort(blob, kind="stable")
     hashes, blob = hashes[order], blob[order]

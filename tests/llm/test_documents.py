@@ -309,3 +309,31 @@ def test_texts_are_read_once_however_many_items(spark):
     items = frame(spark, [(i, prose(30, 40 + i)) for i in range(20)], "item_id long, text string")
     d.decontaminate(docs, items, exact_shingles=10).collect()
     assert seen.value == 50
+
+
+def test_a_bucket_of_repeats_takes_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from taskmill.llm import repeats
+    from taskmill.llm.common import pack_sorted, unpack_sorted
+
+    draw = np.random.default_rng(3)
+    hashes = [np.unique(draw.integers(0, 2**20, 50000, dtype=np.uint64)) for _ in range(8)]
+    marks = [draw.integers(0, 4, len(h), dtype=np.uint64) for h in hashes]
+    table = repeats._blobs([
+        {"chunk": 10 + i, "bucket": 1, "keys": pack_sorted((h << np.uint64(2)) | m)} for i, (h, m) in enumerate(zip(hashes, marks))
+    ])
+    tracemalloc.start()
+    found = repeats._shared_anchors((None,), table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    holders, marked = {}, {}
+    for h, m in zip(hashes, marks):
+        for x, y in zip(h.tolist(), m.tolist()):
+            holders[x], marked[x] = holders.get(x, 0) + 1, marked.get(x, 0) | y
+    shared = {x for x, n in holders.items() if marked[x] & 2 and (n > 1 or marked[x] & 1)}
+    got = {c: set(unpack_sorted(k).tolist()) for c, k in zip(found.column("chunk").to_pylist(), found.column("keys").to_pylist())}
+    assert got == {10 + i: shared & set(h.tolist()) for i, h in enumerate(hashes)}
+    assert most < 48 * sum(map(len, hashes))
