@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,74 +37,75 @@ def multi_counts(cleaned: DataFrame, by: Sequence[str]) -> DataFrame:
 def routed(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY)) -> DataFrame:
     """The one pass over the answers: each row with what the metrics of its dataset need, staged.
 
-    Single-label rows keep their cleaned labels and id, multi-label rows their label sets, summaries the
-    ROUGE scores of the row. Texts go no further, so whatever comes after reads thin rows.
+    Single-label rows keep their cleaned labels and id, multi-label rows their label sets, summaries their
+    texts. Each in columns of its own, so what comes after reads the rows and columns of one kind.
     """
     kind = metrics.metric_kind()
 
     def of(name: str, value: Column) -> Column:
         return F.when(kind == name, value)
 
-    cleaned = clean_answers(df)
     answers = {"output": F.col("output"), "response": F.col("response")}
-    rows = cleaned.select(
-        *by, kind.alias("kind"), F.monotonically_increasing_id().alias("row"),
+    rows = clean_answers(df).select(
+        *by, kind.alias("kind"),
         of("single_label", F.col("id").cast("string")).alias("id"),
-        *[of("single_label", c).alias(f"__label_{n}") for n, c in answers.items()],
-        *[of("multi_label", label_set(c)).alias(f"__set_{n}") for n, c in answers.items()],
-        *[of("rouge", c).alias(n) for n, c in answers.items()],
+        *[of("single_label", c).alias(n) for n, c in answers.items()],
+        of("multi_label", F.monotonically_increasing_id()).alias("row"),
+        *[of("multi_label", label_set(c)).alias(n) for n, c in zip(("truths", "guesses"), answers.values())],
+        *[of("rouge", c).alias(n) for n, c in zip(("reference", "candidate"), answers.values())],
     )
-    thin = rouge.rouge_scores(rows).drop("output", "response")
-    return stage(thin.withColumnsRenamed({
-        "__label_output": "output", "__label_response": "response", "__set_output": "truths", "__set_response": "guesses",
-    }), "routed")
+    return stage(rows, "routed")
 
 
-def facts(thin: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
-    """Sums per group, kind, label and answer of all kinds, in one aggregation of the thin rows.
+def facts(rows: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
+    """Sums per group, kind, label and answer of all kinds, each kind in an aggregation of its own rows.
 
     A single-label row counts at its true label and its answer, repaired if it is none of the labels. A
     multi-label row counts at each of its true labels, and at each further label it names that some row
     of its dataset truly has; under a null label it adds its own scores. So does a summary.
     """
     by = list(by)
-    kind = F.col("kind")
-    labelled = thin.where(kind != "rouge").select(*by, F.explode(F.coalesce("truths", F.array("output"))).alias("output"))
+    single, multi, summaries = (rows.where(F.col("kind") == name) for name in ("single_label", "multi_label", "rouge"))
+    labelled = single.select(*by, "output").unionByName(multi.select(*by, F.explode("truths").alias("output")))
     codes = settle(label_codes(labelled, by))
 
     # Further labels of a row, if their dataset knows them: most rows have none, and do not move.
-    others = thin.where(kind == "multi_label").select(*by, "row", F.explode(F.array_except("guesses", "truths")).alias("label"))
+    others = multi.select(*by, "row", F.explode(F.array_except("guesses", "truths")).alias("label"))
     others = settle(lookup(others, codes.select(*by, "label"), [*by, "label"], "left_semi", null_safe=True))
     more = settle(others.groupBy("row").agg(F.count(F.lit(1)).alias("more")))
-    rows = lookup(repair_answers(thin, seed, by, labels=codes), more, ["row"]).withColumn("more", F.coalesce("more", F.lit(0)))
-    hits = F.size(F.array_intersect("truths", "guesses"))
-    true, named = F.size("truths"), hits + F.col("more")
-
-    def entry(label=None, answer=None, **sums: Column) -> Column:
-        none = F.lit(None).cast("string")
-        zero = {n: F.lit(0).cast("bigint") if n in COUNTS else F.lit(0.0) for n in SUMS}
-        values = {**zero, **{n: v.cast("bigint") if n in COUNTS else v for n, v in sums.items()}}
-        return F.struct(
-            (none if label is None else label).alias("label"), (none if answer is None else answer).alias("answer"),
-            *[values[n].alias(n) for n in SUMS],
-        )
-
-    one = F.lit(1)
-    per_class = F.transform("truths", lambda x: entry(
-        x, n=one, predicted=F.array_contains("guesses", x), tp=F.array_contains("guesses", x),
-    ))
-    per_row = F.array(entry(
-        n=one, exact=(hits == true) & (hits == named), row_precision=metrics.ratio(hits, named),
-        row_recall=metrics.ratio(hits, true), row_f1=metrics.ratio(2 * hits, true + named),
-    ))
-    entries = (
-        F.when(kind == "single_label", F.array(entry(F.col("output"), F.col("response"), n=one)))
-        .when(kind == "multi_label", F.concat(per_class, per_row))
-        .otherwise(F.array(entry(n=one, **{k: F.col(k) for k in rouge.KEYS})))
+
+    one, no = F.lit(1), F.lit(0)
+    repaired = repair_answers(single, seed, by, labels=codes)
+    pairs = repaired.groupBy(*by, F.col("output").alias("label"), F.col("response").alias("answer")).agg(F.count(one).alias("n"))
+
+    of_class = multi.select(*by, "guesses", F.explode("truths").alias("label"))
+    hit = F.array_contains("guesses", F.col("label")).cast("int")
+    classes = of_class.select(*by, "label", one.alias("n"), hit.alias("predicted"), hit.alias("tp")).unionByName(
+        others.select(*by, "label", no.alias("n"), one.alias("predicted"), no.alias("tp"))
+    ).groupBy(*by, "label").agg(*[F.sum(n).alias(n) for n in ("n", "predicted", "tp")])
+
+    sizes = lookup(multi, more, ["row"]).select(
+        *by, F.size("truths").alias("true"), F.size(F.array_intersect("truths", "guesses")).alias("hits"),
+        F.coalesce("more", no).alias("more"),
+    )
+    true, hits, named = F.col("true"), F.col("hits"), F.col("hits") + F.col("more")
+    scores = sizes.groupBy(*by).agg(
+        F.count(one).alias("n"), F.sum(((hits == true) & (hits == named)).cast("int")).alias("exact"),
+        F.sum(metrics.ratio(hits, named)).alias("row_precision"), F.sum(metrics.ratio(hits, true)).alias("row_recall"),
+        F.sum(metrics.ratio(2 * hits, true + named)).alias("row_f1"),
     )
-    strangers = others.select(*by, F.lit("multi_label").alias("kind"), F.inline(F.array(entry(F.col("label"), predicted=one))))
-    everything = rows.select(*by, "kind", F.inline(entries)).unionByName(strangers)
-    return settle(everything.groupBy(*by, "kind", "label", "answer").agg(*[F.sum(n).alias(n) for n in SUMS]))
+
+    scored = rouge.rouge_scores(summaries, reference="reference", candidate="candidate")
+    overlaps = scored.groupBy(*by).agg(F.count(one).alias("n"), *[F.sum(k).alias(k) for k in rouge.KEYS])
+
+    def wide(found: DataFrame, kind: str) -> DataFrame:
+        none = {n: F.lit(None).cast("string") for n in ("label", "answer")}
+        zero = {n: no.cast("bigint") if n in COUNTS else F.lit(0.0) for n in SUMS}
+        absent = {n: c for n, c in {**none, **zero}.items() if n not in found.columns}
+        return found.withColumns({"kind": F.lit(kind), **absent}).select(*by, "kind", "label", "answer", *SUMS)
+
+    found = [wide(pairs, "single_label"), wide(classes, "multi_label"), wide(scores, "multi_label"), wide(overlaps, "rouge")]
+    return settle(reduce(DataFrame.unionByName, found))
 
 
 def _single(found: DataFrame, by: list[str]) -> DataFrame:
@@ -193,7 +195,7 @@ def evaluate_experiment(
 ) -> DataFrame:
     """Read an experiment, write a metrics document per dataset; returns the quarantined records.
 
-    The JSON is parsed once, for one pass that leaves thin rows; all metrics come from these.
+    The JSON is parsed once, for one pass that stages what the metrics need; all of them come from that.
     """
     good, bad = read_results(spark, experiment_dir, layout)
     with cleared(spark):

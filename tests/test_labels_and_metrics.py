@@ -289,3 +289,31 @@ def test_facts_of_groups_that_are_null_and_of_nothing(spark):
     # True a, b against a, c; true c against the answer "none", which no row has.
     assert values["Hostility", "f1_micro"] == pytest.approx(2 * 1 / (3 + 2))
     assert evaluation.evaluate(spark.createDataFrame([], ddl)).collect() == []
+
+
+def test_each_kind_is_summed_from_its_own_rows(spark, monkeypatch):
+    """Only summaries reach the step in Python, once their rows are staged; no row is expanded into all sums."""
+    ddl = "id string, lang string, dataset string, output string, response string"
+    rows = [(str(i), "en", "plain", "a" if i % 2 else "b", "a" if i % 3 else "junk") for i in range(12)]
+    rows += [("m1", "en", "Hostility", "a,b", "b, zz"), ("m2", "en", "Hostility", "b", "b,a"), ("m3", "en", "Hostility", "c", None)]
+    rows += [("s1", "en", "xlsum", "one two", "two one"), ("s2", "en", "xlsum", None, "one"), (None, None, "xlsum", "", "")]
+    scored, plans = [], []
+    scores, settle = evaluation.rouge.rouge_scores, evaluation.settle
+    monkeypatch.setattr(evaluation.rouge, "rouge_scores", lambda df, *a, **k: scored.append(df) or scores(df, *a, **k))
+    monkeypatch.setattr(evaluation, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    staged = evaluation.routed(spark.createDataFrame(rows, ddl))
+    found = evaluation.facts(staged).collect()
+    assert {r.kind for df in scored for r in df.collect()} == {"rouge"}
+    assert "inline" not in plans[-1]
+    texts = staged.where("kind = 'rouge'").select("reference", "candidate").collect()
+    assert sorted(map(tuple, texts)) == [("", ""), ("none", "one"), ("one two", "two one")]
+    keyed = {(r.lang, r.dataset, r.label, r.answer): r for r in found}
+    assert len(keyed) == len(found)
+    assert sum(r.n for r in found if r.kind == "single_label") == 12
+    b = keyed["en", "Hostility", "b", None]
+    assert (b.n, b.predicted, b.tp) == (2, 2, 2)
+    a = keyed["en", "Hostility", "a", None]
+    assert (a.n, a.predicted, a.tp) == (1, 1, 0)
+    own = keyed["en", "Hostility", None, None]
+    assert (own.n, own.exact, own.row_precision, own.row_recall) == (3, 0, 1.5, 1.5)
+    assert keyed["en", "xlsum", None, None].rouge1 == 100.0 and keyed[None, "xlsum", None, None].n == 1
