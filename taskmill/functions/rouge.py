@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,8 @@ def lcs_positions(reference: list[str], candidate: list[str], where: dict[str, i
     reference tokens the candidate lacks never matter and are skipped from the start.
     """
     kept = [i for i, token in enumerate(reference) if token in where]
+    if len(kept) < 2:
+        return set(kept)
     tokens = [reference[i] for i in kept]
     rows = [0, *lcs_rows(tokens, candidate, where)]
     found: set[int] = set()
@@ -145,10 +148,10 @@ def lcs_positions(reference: list[str], candidate: list[str], where: dict[str, i
 def lcs_sum_hits(reference: list[list[str]], candidate: list[list[str]]) -> int:
     """Union over candidate sentences of the subsequence hits of each reference sentence.
 
-    A token counts at most as often as it occurs in each of the two texts. Equal sentences are compared once.
+    A token counts at most as often as it occurs in each of the two texts: its places in the reference are distinct,
+    those in the candidate are counted off. Equal sentences are compared once.
     """
-    free_reference = Counter(token for sentence in reference for token in sentence)
-    free_candidate = Counter(token for sentence in candidate for token in sentence)
+    free = Counter(chain.from_iterable(candidate))
     others = [(sentence, places(sentence)) for sentence in {tuple(s): s for s in candidate if s}.values()]
     found: dict[tuple[str, ...], list[int]] = {}
     hits = 0
@@ -162,9 +165,8 @@ def lcs_sum_hits(reference: list[list[str]], candidate: list[list[str]]) -> int:
             found[key] = sorted(union)
         for place in found[key]:
             token = sentence[place]
-            if free_reference[token] > 0 and free_candidate[token] > 0:
-                free_reference[token] -= 1
-                free_candidate[token] -= 1
+            if free[token] > 0:
+                free[token] -= 1
                 hits += 1
     return hits
 
