@@ -12,7 +12,7 @@ from taskmill.functions.text import label_set
 from taskmill.operators import metrics, rouge
 from taskmill.operators.labels import label_codes, repair_answers
 from taskmill.operators.records import clean_answers, split_labels
-from taskmill.scale import cleared, lookup, settle, stage
+from taskmill.scale import cleared, discard, lookup, settle, stage
 from taskmill.schema import DATASET_KEY
 from taskmill.sources.results import read_results, write_metrics
 
@@ -108,6 +108,14 @@ def facts(rows: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 4
     return settle(reduce(DataFrame.unionByName, found))
 
 
+def _sums(df: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """The facts of the answers; what was staged for them, texts among it, is removed."""
+    rows = routed(df, by)
+    found = facts(rows, by, seed)
+    discard(rows)
+    return found
+
+
 def _single(found: DataFrame, by: list[str]) -> DataFrame:
     """Confusion counts."""
     return found.where("kind = 'single_label'").select(*by, "label", F.col("answer").alias("predicted"), "n")
@@ -129,7 +137,7 @@ def _summaries(found: DataFrame, by: list[str]) -> DataFrame:
 def evaluate(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), seed: int = 42) -> DataFrame:
     """All metrics of all datasets in long form: the group, ``metric`` and ``value``. The input is read once."""
     by = list(by)
-    found = facts(routed(df, by), by, seed)
+    found = _sums(df, by, seed)
     frames = [
         _long(metrics.single_label_metrics(_single(found, by), by), by, SINGLE),
         _long(metrics.multi_label_metrics(_multi(found, by), by), by, MULTI),
@@ -169,7 +177,7 @@ def metrics_documents(df: DataFrame, by: Sequence[str] = tuple(DATASET_KEY), see
     summaries the ROUGE scores.
     """
     by = list(by)
-    found = facts(routed(df, by), by, seed)
+    found = _sums(df, by, seed)
 
     counts = _single(found, by)
     report = metrics.full_report(metrics.class_report(metrics.class_counts(counts, by)), by).where("label <> 'accuracy'")

@@ -1,6 +1,7 @@
 import json
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -317,3 +318,13 @@ def test_each_kind_is_summed_from_its_own_rows(spark, monkeypatch):
     own = keyed["en", "Hostility", None, None]
     assert (own.n, own.exact, own.row_precision, own.row_recall) == (3, 0, 1.5, 1.5)
     assert keyed["en", "xlsum", None, None].rouge1 == 100.0 and keyed[None, "xlsum", None, None].n == 1
+
+
+def test_staged_answers_are_removed_once_they_are_summed(spark, monkeypatch):
+    kept, stage = [], evaluation.stage
+    monkeypatch.setattr(evaluation, "stage", lambda *a: kept.append(stage(*a)) or kept[-1])
+    rows = [("1", "en", "plain", "a", "a"), ("2", "en", "xlsum", "one two", "one")]
+    got = evaluation.evaluate(spark.createDataFrame(rows, ANSWERS))
+    files = kept[0].inputFiles()
+    assert files and not any(Path(f.removeprefix("file:").replace("///", "/")).exists() for f in files)
+    assert {(r.dataset, r.metric): r.value for r in got.collect()}["xlsum", "rouge1"] == pytest.approx(66.67)
